@@ -56,9 +56,14 @@ def tokens(text) -> Column:
     return F.floor((F.length(_c(text)) + 3) / 4).cast("long")
 
 
+def raw_words(text) -> Column:
+    """Word tokens with repeats, in order, in their own case."""
+    return F.regexp_extract_all(_c(text), F.lit(f"({X.WORD})"), 1)
+
+
 def words(text) -> Column:
     """Lower-cased word tokens with repeats, in order."""
-    return F.transform(F.regexp_extract_all(_c(text), F.lit(f"({X.WORD})"), 1), F.lower)
+    return F.transform(raw_words(text), F.lower)
 
 
 def _sorted_terms(found: Column, stop, shortest: int) -> Column:
