@@ -1 +1,8 @@
 """Entity timelines, budgeted retrieval and evaluation as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with the job, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
