@@ -47,8 +47,8 @@ def clean(text, limit: int = 140) -> Column:
     s = F.replace(s, F.lit(" — "), F.lit(", "))
     s = F.translate(s, "—–", "--")
     s = strip(F.regexp_replace(s, r"(?U)\s+", " "))
-    cut = F.regexp_replace(F.substring(s, 1, limit - 3), r"\s+\z", "")
-    return F.when(F.length(s) <= limit, s).otherwise(F.concat(cut, F.lit("...")))
+    # one pattern instead of a condition, so the text is cleaned once
+    return F.regexp_replace(s, rf"(?s)\A(?=.{{{limit + 1}}})(.{{{limit - 4}}}[^ ]?).*\z", "$1...")
 
 
 def tokens(text) -> Column:
@@ -126,7 +126,7 @@ def scrub(text) -> Column:
         return F.when(token & ~F.forall(F.split(p, "/"), fine), F.lit("[redacted]")).otherwise(p)
 
     whole = F.array_join(F.transform(pieces, piece), "")
-    return F.when(known.rlike(f"[{c}]{{32,}}"), whole).otherwise(known)
+    return F.when(_c(text).rlike(f"[{c}]{{32,}}"), whole).otherwise(known)
 
 
 def squeeze_blank(text) -> Column:
@@ -134,8 +134,7 @@ def squeeze_blank(text) -> Column:
 
 
 def clip(text, cap: int = X.CAP) -> Column:
-    s = squeeze_blank(text)
-    return F.when(F.length(s) <= cap, s).otherwise(F.concat(F.substring(s, 1, cap), F.lit(" [...]")))
+    return F.regexp_replace(squeeze_blank(text), rf"(?s)\A(.{{{cap}}}).+\z", r"$1 [...]")
 
 
 def pack_lines(lines: Column, cap: int = X.CAP) -> Column:
