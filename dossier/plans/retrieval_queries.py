@@ -26,7 +26,7 @@ def passages(docs_: DataFrame, questions_: DataFrame) -> DataFrame:
     word = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1)
     q = questions_.select("qid", "question", word(F.col("question")).alias("w"))
     inner = q.select("qid", "question", F.explode(F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w"))).alias("word")).distinct()
-    d = docs_.select("doc", F.explode(F.array_distinct(word(F.col("text")))).alias("word"))
+    d = docs_.select("doc", F.explode_outer(F.array_distinct(word(F.col("text")))).alias("word"))
     met = d.join(small_side(inner.select("word").distinct()), "word")
     freq = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rare = inner.join(freq, "word").groupBy("qid", "question").agg(F.min(F.struct("n", "word")).alias("m")).select("qid", "question", "m.word")
