@@ -23,6 +23,7 @@ NOISE = r"(?s)<(system-reminder|local-command-\w+|command-\w+|task-notification)
 NO_INDEX = "DO NOT INDEX THIS CHAT"
 META = r"\s\[([a-z_]+:\s*[^;\]]+(?:;\s*[a-z_]+:\s*[^;\]]+)*)\](?:\s*·.*)?$"
 SINCE = r"\(since (20\d\d-\d\d-\d\d); (k:[0-9a-f]{10}(?:, k:[0-9a-f]{10})*)\)"
+BULLET_HEAD = r"^\s*[-*] (?:\[[ x]\] )?(?:[A-Za-z][A-Za-z /]{0,30}: ?)?"
 BULLET = r"^\s*[-*] (?:\[[ x]\] )?(?:([A-Za-z][A-Za-z /]{0,30}): ?)?(.*)$"
 FACT = r"^- (Overview|Decision|State|Open|Fact): (.+) \(since (\d{4}-\d{2}-\d{2}); (k:[0-9a-f]{10}(?:, k:[0-9a-f]{10})*)\)$"
 ENTRY_KEY = r"<!--k:([0-9a-f]{10})-->"
