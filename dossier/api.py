@@ -50,9 +50,20 @@ def card_entries(cards: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession, cfg: VaultConfig, today: str | None = None, home: str = "", dictionary: DataFrame | None = None,
-          if_changed: str | None = None) -> dict:
+          if_changed: str | None = None, lock: str | None = None) -> dict:
     """Build or refresh every card. `if_changed` names a stamp file: nothing happens unless an input is
-    newer than the start of the last sweep. Returns counters."""
+    newer than the start of the last sweep. `lock` names a file that lets one sweep run at a time; a second
+    one does nothing. Returns counters."""
+    if lock:
+        import fcntl
+
+        os.makedirs(os.path.dirname(lock) or ".", exist_ok=True)
+        with open(lock, "a") as held:
+            try:
+                fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                return {"locked": True}
+            return sweep(spark, cfg, today, home, dictionary, if_changed)
     t0, today = time.time(), today or date.today().isoformat()
     if if_changed and os.path.exists(if_changed):
         with open(if_changed, encoding="utf-8") as f:
@@ -230,10 +241,14 @@ def prompt_cost(rows: DataFrame, text: str, usd_per_million: float) -> DataFrame
 
 # ---- digests and consolidation -----------------------------------------------------------------
 
-def digest_build(spark: SparkSession, corpora: dict, names: list[str] | None = None, home: str = "") -> DataFrame:
-    """(path, place, line, kept) of every session and note of the corpora; see sinks.write_digests."""
+def digest_build(spark: SparkSession, corpora: dict, names: list[str] | None = None, home: str = "", done: DataFrame | None = None) -> DataFrame:
+    """(path, place, line, kept) of every session and note of the corpora; see sinks.write_digests. Files in
+    done(ref, mtime) that have not changed since are left out."""
     c = {n: v for n, v in corpora.items() if not names or n in names}
     f = V.read_corpora(spark, c, home).withColumn("ref", F.concat("corpus", F.lit(":"), "rel"))
+    if done is not None:
+        old = done.select("ref", F.col("mtime").alias("seen"))
+        f = f.join(old, "ref", "left").where(F.col("seen").isNull() | (F.col("seen") < F.col("mtime"))).drop("seen")
     s = f.where(F.col("rel").endswith(".jsonl"))
     lines = s.select(F.col("ref").alias("session"), F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("n", "raw")) \
         .withColumn("n", (F.col("n") + 1).cast("long"))

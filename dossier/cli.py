@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     a = s.add_parser("sweep")
     a.add_argument("--if-changed", metavar="STAMP")
     a.add_argument("--unsourced", action="store_true")
+    a.add_argument("--lock", default=os.path.expanduser("~/.cache/dossier/sweep.lock"))
     a = s.add_parser("context")
     a.add_argument("question", nargs="+")
     a.add_argument("--budget", type=int, default=4000)
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in api.unsourced(spark, cfg).toLocalIterator():
             print(f"{r['card']}: {r['line']}")
     elif a.cmd == "sweep":
-        print(" ".join(f"{k}={v}" for k, v in api.sweep(spark, cfg, home=home, if_changed=a.if_changed).items()))
+        print(" ".join(f"{k}={v}" for k, v in api.sweep(spark, cfg, home=home, if_changed=a.if_changed, lock=a.lock).items()))
     elif a.cmd == "context":
         for r in api.context(spark, cfg, a.question, a.budget).orderBy("qid").toLocalIterator():
             print(r["context"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +73,26 @@ def hybrid(chunks, questions, budget, vectors=None, query_vectors=None, **_):
     return pack(R.rrf([a, b], X.FUSE_DEPTH, first_rank=0), chunks, [F.col("rank")], budget)
 
 
+def embed(texts: DataFrame, provider: Callable[[list[str]], list[list[float]]], stored: DataFrame | None = None, batch: int = 32) -> DataFrame:
+    """texts(doc, text) to vectors(doc, sha, embedding) with a provider called in the tasks, `batch` texts at
+    a time. Texts whose digest is in stored(sha, embedding) are not sent again; equal texts are sent once."""
+    t = texts.select("doc", "text", F.sha1("text").alias("sha"))
+    todo = t.groupBy("sha").agg(F.first("text").alias("text"))
+    if stored is not None:
+        todo = todo.join(stored.select("sha").distinct(), "sha", "left_anti")
+
+    def run(parts):
+        for pdf in parts:
+            out = []
+            for i in range(0, len(pdf), batch):
+                out += provider(list(pdf["text"].iloc[i:i + batch]))
+            yield pd.DataFrame({"sha": pdf["sha"], "embedding": out})
+
+    fresh = todo.mapInPandas(run, "sha string, embedding array<float>")
+    known = fresh if stored is None else fresh.unionByName(stored.select("sha", "embedding"))
+    return t.select("doc", "sha").join(known, "sha").select("doc", "sha", "embedding")
+
+
 @register("memory")
 def memory(chunks, questions, budget, memory_text="", **_):
     """The start of a memory file: four characters per token of budget."""

@@ -144,3 +144,66 @@ def test_eval_over_corpora(spark, tmp_path):
     sc = {r["category"]: (r["right"], r["n"]) for r in api.eval_score_answers(spark.createDataFrame(
         [(x["id"], x["category"], x["keys"]) for x in qs], "id string, category string, keys array<string>"), ans).collect()}
     assert sc == {"single": (1, 1), "abstention": (1, 1), "temporal": (0, 1), "all": (2, 3)}
+
+
+def test_lock_lets_one_sweep_run(spark, place, tmp_path):
+    import fcntl
+
+    home, vault, cfg = place
+    lock = str(tmp_path / "sweep.lock")
+    with open(lock, "w") as held:
+        fcntl.flock(held, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        assert api.sweep(spark, cfg, "2026-03-12", home, lock=lock) == {"locked": True}
+
+
+def test_digest_build_archives_and_skips_unchanged(spark, tmp_path):
+    from dossier.sources import sinks, vault
+
+    root, out = str(tmp_path / "c"), str(tmp_path / "out")
+    msg = lambda c: json.dumps({"type": "user", "timestamp": "2026-03-01T10:00:00Z", "sessionId": "S", "message": {"role": "user", "content": c}}) + "\n"
+    put(root, {"s.jsonl": msg("first question") + msg("second question"), "hidden.jsonl": msg("x") + msg("DO NOT INDEX THIS CHAT"), "n.md": "# H 2026-01-02\nbody\n"})
+    corpora = {"c": {"root": root, "include": ["*.md", "*.jsonl"]}}
+    d = api.digest_build(spark, corpora)
+    lines = {(r["path"], json.loads(r["line"])["kind"], json.loads(r["line"])["text"]) for r in d.collect()}
+    assert ("c:s.jsonl", "prompt", "first question") in lines and ("c:n.md", "section", "body") in lines
+    assert {x for x in lines if x[0] == "c:hidden.jsonl"} == {("c:hidden.jsonl", "session", "not indexed (marker)")}
+    sinks.write_digests(d, out, "run1")
+    put(root, {"s.jsonl": msg("second question")})
+    sinks.write_digests(api.digest_build(spark, corpora), out, "run2")
+    gone = spark.read.parquet(os.path.join(out, "archive", "run2"))
+    assert {r["path"] for r in gone.select("path").distinct().collect()} == {"c:s.jsonl"} and "first question" in "".join(r["line"] for r in gone.collect())
+    done = vault.read_corpora(spark, corpora).selectExpr("concat(corpus, ':', rel) as ref", "mtime")
+    assert api.digest_build(spark, corpora, done=done).count() == 0
+
+
+def test_nightly_gate(spark, place, tmp_path):
+    home, vault, cfg = place
+    p = os.path.join(vault, "cards", "harness", "tided.md")
+    with open(p, encoding="utf-8") as f:
+        text = f.read()
+    dup = "- State: daemon restarts cleanly each night [source: Resources/Reading.md; added: 2026-03-01]\n"
+    with open(p, "w", encoding="utf-8") as f:
+        f.write(text.replace("- Open: \n", dup + dup))
+    qs = [{"id": "q1", "category": "single", "question": "Which daemon restarts cleanly?", "answer": "tided", "keys": ["tided"], "gold": ["cards:harness/tided.md"],
+           "as_of": "", "split": "frozen", "note": ""}]
+    path = str(tmp_path / "q.jsonl")
+    with open(path, "w") as f:
+        f.writelines(json.dumps(q) + "\n" for q in qs)
+    out = str(tmp_path / "nightly")
+    seen = api.nightly(spark, cfg, out, "2026-03-12", questions=api.load_questions(spark, path), home=home)
+    assert seen["decision"] == "proposed" and seen["findings"]["exact_dup"] == 1
+    did = api.nightly(spark, cfg, out, "2026-03-12", apply=True, questions=api.load_questions(spark, path), home=home)
+    assert did["decision"] == "applied" and did["written"] == 1 and did["skipped"] == 0
+    with open(p, encoding="utf-8") as f:
+        assert f.read().count("daemon restarts cleanly") == 1
+    assert len(open(os.path.join(out, "ledger.jsonl")).read().splitlines()) == 2
+
+
+def test_embed_sends_each_text_once(spark):
+    from dossier.operators.retrievers import embed
+
+    t = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a")], "doc long, text string")
+    v = embed(t, lambda xs: [[float(len(x)), 1.0] for x in xs])
+    got = {r["doc"]: r["embedding"] for r in v.collect()}
+    assert got == {1: [1.0, 1.0], 2: [2.0, 1.0], 3: [1.0, 1.0]}
+    assert embed(t, lambda xs: 1 / 0, stored=v.select("sha", "embedding").distinct()).count() == 3
