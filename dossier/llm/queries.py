@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, quality, secrets, tokens
+from . import licenses, linededup, mixing, neardup, quality, secrets, tokens
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op3_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(documents(spark, sf_dir), words=2)
 
 
+@query()
+def op4_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query()
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(documents(spark, sf_dir), ["doc_id"]).select(
@@ -70,3 +75,8 @@ def op6_token_counts(spark, sf_dir):
 @query()
 def op7_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir), ["doc_id"])
+
+
+@query()
+def op9_mix_sources(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
