@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, mixing, neardup, quality, secrets, tokens
+from . import decontaminate, licenses, linededup, mixing, neardup, quality, secrets, tokens, urls
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,16 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir), ["doc_id"])
 
 
+@query()
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op9_mix_sources(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("rate", 9).alias("rate"))
+
+
+@query()
+def op10_url_filter(spark, sf_dir):
+    return urls.verdicts(table(spark, sf_dir, "pages"))
