@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, mixing, neardup, quality, secrets, tokens, urls
+from . import decontaminate, licenses, linededup, mixing, neardup, pii, quality, secrets, tokens, urls
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.scan(documents(spark, sf_dir), ["doc_id"])
 
 
+@query()
+def op2_pii_scan(spark, sf_dir):
+    return pii.scan(documents(spark, sf_dir))
+
+
 _LINKS = r"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x20\x09-\x0D]+') as w from documents),
 s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 2 then [w[1]]
