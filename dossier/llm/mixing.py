@@ -96,7 +96,7 @@ def _round(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mix(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
         share: float = SHARE) -> DataFrame:
-    """id, source, size, source_size, target, rate, copies, taken: one row per document."""
+    """id, source, h (hash of id and text), size, source_size, target, rate, copies, taken: one row per document."""
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     sized = stored(df.select(F.col(id_).alias("doc"), F.col(source).alias("source"), size.alias("size"), F.xxhash64(id_, text).alias("h")), "sized")
     goals = stored(targets(sized, weights, share), "targets")
@@ -108,5 +108,15 @@ def mix(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "s
     kind = dict(dealt.dtypes)["doc"]
     done = dealt.groupBy("source_no", "g").applyInPandas(_round, f"doc {kind}, size bigint, h bigint, source_no int, rate double, copies int")
     out = done.join(small(goals), "source_no")
-    return out.select(F.col("doc").alias(id_), F.col("source"), "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"),
+    return out.select(F.col("doc").alias(id_), F.col("source"), "h", "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"),
                       (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", **names) -> DataFrame:
+    """row (all columns of df, as they were), size, copies, taken, for documents that the mix takes. Rows equal in id and text
+    take the same number of copies."""
+    taken = mix(df, id_, text, source, **names).groupBy(F.col(id_).alias("id"), "h").agg(F.first("size").alias("size"), F.max("copies").alias("copies"))
+    taken = small(stored(taken.where("copies > 0"), "taken"))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_).alias("row_id"), F.xxhash64(id_, text).alias("row_h"))
+    return rows.join(taken, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_h") == F.col("h"))) \
+        .select("row", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))

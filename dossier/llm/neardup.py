@@ -106,3 +106,9 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", word
     cols = [id_, "n_shingles", "component_id"]
     return linked.select(*cols).unionByName(alone.select(*cols)) \
         .withColumn("kept", F.coalesce(F.col(id_) == F.col("component_id"), F.lit(True)))
+
+
+def survivors(df: DataFrame, id_: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """The rows of df without those that are in a group with a smaller id."""
+    gone = stored(near_duplicates(df, id_, text, **names).where(~F.col("kept")).select(id_).distinct(), "gone")
+    return df.join(small(gone), id_, "left_anti")

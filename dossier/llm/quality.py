@@ -121,3 +121,12 @@ def judge(df: DataFrame, keep: list[str], text: str = "text", least: float = 0.5
     judged = m.withColumn("pattern", pattern).join(F.broadcast(posterior(m)), "pattern", "left")
     return judged.withColumn("base_failed", base_failed()) \
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= least))
+
+
+def accept(df: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df that are kept, with df's own columns, whatever their names. Texts are measured twice rather than stored."""
+    post = posterior(measures(df, [], text))
+    pattern = F.concat(*[F.when(v > 0, "+").when(v < 0, "-").otherwise("0") for v in votes().values()])
+    m = measures(df.select(F.struct("*").alias("row"), F.col(text).alias("body")), ["row"], "body")
+    judged = m.withColumn("pattern", pattern).join(F.broadcast(post), "pattern")
+    return judged.where(~base_failed() & (F.col("posterior") >= least)).select("row.*")

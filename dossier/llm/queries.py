@@ -60,7 +60,7 @@ def op3_near_duplicates(spark, sf_dir):
 
 @query()
 def op4_line_dedup(spark, sf_dir):
-    return linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    return linededup.dedup_lines(documents(spark, sf_dir)).select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
 
 
 @query()
