@@ -43,7 +43,8 @@ def init(vault: str, path: str, force: bool = False) -> VaultConfig:
 
 
 def card_entries(cards: DataFrame) -> DataFrame:
-    """timeline rows parsed back from cards(slug, text)."""
+    """timeline rows parsed back from cards(slug, text). A card that continues in numbered files is one card."""
+    cards = cards.withColumn("slug", F.regexp_replace("slug", r"\.\d+$", ""))
     inner = F.split(F.split(F.col("text"), X.START, 2)[1], X.END, 2)[0]
     lines = cards.where(F.contains("text", F.lit(X.START))).select("slug", F.explode(F.split(inner, "\n")).alias("line"))
     return TL.parse_card_lines(lines)
@@ -76,12 +77,14 @@ def sweep(spark: SparkSession, cfg: VaultConfig, today: str | None = None, home:
         found = found.unionByName(TL.collect_sessions(V.read_sessions(spark, cfg, home), ents, cfg.timezone))
     old = V.read_cards(spark, cfg).persist()
     merged = cut(TL.merge(cut(found), card_entries(old), V.list_paths(spark, cfg, home)))
-    cards = cut(K.render_cards(merged, ents, old, K.seeds(notes, ents, today), cfg))
+    first_files = old.where(~F.col("slug").rlike(r"\.\d+$"))
+    cards = cut(K.render_cards(merged, ents, first_files, K.seeds(notes, ents, today), cfg))
     name = F.concat("kind", F.lit("/"), "slug", F.when(F.col("part") > 0, F.concat(F.lit("."), (F.col("part") + 1).cast("string"))).otherwise(F.lit("")), F.lit(".md"))
     wrote = K.write_texts(cards.select(name.alias("rel"), "text"), cfg.cards_root, datetime.now().strftime("%Y-%m-%d %H:%M"))
     moved = old.join(ents.select("slug", F.col("kind").alias("now")), "slug").where("kind <> now").select("card")
     n = wrote.agg(F.count_if("written").alias("changed"), F.count(F.lit(1)).alias("files")).first()
-    for r in moved.toLocalIterator():           # the card of an entity whose kind changed has moved
+    stale = old.where(F.col("slug").rlike(r"\.\d+$")).join(cards.select(name.alias("card")), "card", "left_anti").select("card")
+    for r in moved.unionByName(stale).toLocalIterator():    # cards of entities whose kind changed, and numbered files past a card's end
         os.remove(os.path.join(cfg.cards_root, r["card"]))
     cat = K.write_catalog(TL.catalog(merged, ents), cfg)
     bare = L.unsourced(L.bullets(L.card_lines(cards.select(F.col("slug").alias("card"), "text")).where("fact"))).count()
@@ -117,7 +120,7 @@ def card_index(spark: SparkSession, cfg: VaultConfig, chunks: DataFrame) -> C.Ca
         .otherwise(F.array(F.struct(name.alias("text"), F.lit(True).alias("cs"))))
     e = cards.where(~F.col("slug").rlike(r"\.\d+$")).select("slug", name.alias("name"), name.alias("display"), "kind", al.alias("aliases"),
                                                             F.array().cast("array<string>").alias("notes"))
-    t = card_entries(cards.withColumn("slug", F.regexp_replace("slug", r"\.\d+$", "")))
+    t = card_entries(cards)
     return C.build_index(t, cut(e), chunks, cfg.block_dirs, cfg.cards_folder)
 
 
@@ -241,6 +244,13 @@ def prompt_cost(rows: DataFrame, text: str, usd_per_million: float) -> DataFrame
 
 # ---- digests and consolidation -----------------------------------------------------------------
 
+def digest_unchanged(spark: SparkSession, corpora: dict, done: DataFrame, names: list[str] | None = None, home: str = "") -> DataFrame:
+    """(path): files in done(ref, mtime) that are still there and have not changed since; sinks.write_digests keeps their lines."""
+    f = V.read_corpora(spark, {n: v for n, v in corpora.items() if not names or n in names}, home).withColumn("path", F.concat("corpus", F.lit(":"), "rel"))
+    seen = done.select(F.col("ref").alias("path"), F.col("mtime").alias("seen"))
+    return f.join(seen, "path").where(F.col("seen") >= F.col("mtime")).select("path")
+
+
 def digest_build(spark: SparkSession, corpora: dict, names: list[str] | None = None, home: str = "", done: DataFrame | None = None) -> DataFrame:
     """(path, place, line, kept) of every session and note of the corpora; see sinks.write_digests. Files in
     done(ref, mtime) that have not changed since are left out."""

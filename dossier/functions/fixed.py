@@ -39,8 +39,7 @@ KINDS = ["person", "project", "harness", "area", "topic"]
 FACT_KINDS = ["Overview", "Decision", "State", "Open", "Fact"]
 HOUSEKEEPING = ["Defining notes", "Links", "Summary as of", "Tags"]
 SUPERSEDED, ARCHIVED = "### Superseded", "### Archived as written"
-MARKER = ("<!-- consolidated: each bullet cites Timeline keys (k:...); "
-          "a bullet without one is archived on the next pass -->")
+MARKER = "<!-- consolidated -->"
 MARKER_PATTERN = r"<!-- consolidated[^\n]*-->"
 ECHO = "(synced via audit-to-vault)"
 DIGEST_PRIORITY = ["prompt", "reply", "step", "file", "url", "cmd"]
