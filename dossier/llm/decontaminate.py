@@ -43,8 +43,8 @@ def _set(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def _fingerprints(df: DataFrame, keep: list[str]) -> DataFrame:
     """keep, fp: SimHash of the words of `w` (items are far shorter than a fingerprint's 16383 words)."""
-    e = df.select(*keep, F.explode("w").alias("word"))
-    return e.groupBy(*keep).agg(*sums("word"), F.count(F.lit(1)).alias("_m")).select(*keep, fingerprint("_m").alias("fp"))
+    e = df.select(*keep, F.explode("w").alias("word")).select(*keep, F.xxhash64("word").alias("h"))
+    return e.groupBy(*keep).agg(*sums(F.col("h")), F.count(F.lit(1)).alias("_m")).select(*keep, fingerprint("_m").alias("fp"))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",

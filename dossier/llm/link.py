@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+
+def ratio(least: float) -> Callable[[str, str], Column]:
+    """Sizes within a ratio of each other."""
+    return lambda x, y: (F.col(x) >= least * F.col(y)) & (F.col(y) >= least * F.col(x))
+
+
 ROUNDS = 60
 
 
@@ -42,13 +48,14 @@ def groups(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: float) -> tuple[DataFrame, DataFrame]:
-    """buckets(key, id, n): `n` is a size, and linked items have sizes within the ratio `compatible`. `verify` keeps the pairs
-    (a, b) that are links. Returns (id, comp) of all linked items and the verified links (a, b)."""
+def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], sketches: DataFrame | None = None,
+         plausible: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """buckets(key, id, n): fits(n, n) says cheaply whether two items can be linked at all. `verify` keeps the pairs (a, b) that
+    are links. sketches(id, sketch) and plausible(sketch, sketch) rule out nearly all further pairs of a bucket that are no links
+    before they become rows. Returns (id, comp) of all linked items and the verified links (a, b)."""
     crowd = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("m")).where("c > 1")
                    .select("key", F.col("m.id").alias("center"), F.col("m.n").alias("center_n")), "crowd")
     members = stored(buckets.join(crowd, "key"), "members")
-    fits = lambda x, y: (F.col(x) >= compatible * F.col(y)) & (F.col(y) >= compatible * F.col(x))
     star = stored(members.where((F.col("id") != F.col("center")) & fits("n", "center_n"))
                   .select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = stored(verify(star), "links")
@@ -58,9 +65,12 @@ def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], compatibl
     mixed = stored(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                          F.max(F.when(F.col("id") == F.col("center"), F.col("comp"))).alias("main"))
                    .where(F.col("lo") != F.col("hi")).select("key", "main"), "mixed")
-    strays = stored(at.join(mixed, "key").select("key", "id", "n", "comp", "main"), "strays")
-    left = strays.where(F.col("comp") != F.col("main")).select("key", F.col("id").alias("i"), F.col("n").alias("i_n"), F.col("comp").alias("i_comp"))
-    pairs = left.join(strays, "key").where((F.col("comp") != F.col("i_comp")) & fits("n", "i_n"))
+    strays = at.join(mixed, "key").select("key", "id", "n", "comp", "main")
+    strays = stored(strays.withColumn("sketch", F.lit(0)) if sketches is None else strays.join(sketches, "id"), "strays")
+    left = strays.where(F.col("comp") != F.col("main")).select("key", F.col("id").alias("i"), F.col("n").alias("i_n"), F.col("comp").alias("i_comp"),
+                                                              F.col("sketch").alias("i_sketch"))
+    pairs = left.join(strays, "key").where((F.col("comp") != F.col("i_comp")) & fits("n", "i_n")
+                                           & (F.lit(True) if plausible is None else plausible("sketch", "i_sketch")))
     pairs = pairs.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
     pairs = stored(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = stored(verify(pairs), "links")

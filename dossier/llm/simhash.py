@@ -22,8 +22,8 @@ def words(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
-def sums(feature: Column | str) -> list[Column]:
-    h = F.xxhash64(feature)
+def sums(h: Column) -> list[Column]:
+    """The sixteen sums of 64-bit feature hashes."""
     return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_ONES))).alias(f"_s{k}") for k in range(16)]
 
 
