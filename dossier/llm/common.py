@@ -70,12 +70,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     return src.mapInArrow(run, out)
 
 
-def pieces(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, list]]:
-    """Runs of texts of about `most` bytes, so that working arrays stay small; a longer text is a run of its own."""
+def pieces(texts: list, most: int = 2_000_000, count: int = 2_000) -> Iterator[tuple[int, list]]:
+    """Runs of texts of about `most` bytes and at most `count` texts, so that working arrays stay small; a longer text is a run of
+    its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):
         k = len(t) if t else 0
-        if i > at and size + k > most:
+        if i > at and (size + k > most or i - at == count):
             yield at, texts[at:i]
             at, size = i, 0
         size += k

@@ -6,7 +6,9 @@ size, and the number of equal coordinates of two sketches is concentrated about
 take several rounds, large ones usually one. Bands of equal coordinates make buckets; `link` compares within buckets without
 pairing whole buckets, every comparison is on the full shingle sets, and documents with one shingle set are one item throughout.
 
-With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
+With 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8. Members of a
+bucket that are not in the group of its smallest are compared with the others only if their whole sketches (1024
+coordinates, two bits each) agree as often as 0.8 implies, less four standard deviations, which a link misses with probability < 1e-4.
 
 Null or empty text, or no words: an empty set, linked with nothing, kept. Rows that share a doc_id count as one document in
 links; a null doc_id is linked with nothing and kept. Other columns are not read.
@@ -14,15 +16,18 @@ links; a null doc_id is linked with nothing and kept. Other columns are not read
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, lists, map_texts, mix, shingles, small, stored
-from .link import link
+from .link import link, ratio
 
 BANDS, WIDTH = 32, 4
+COORDINATES = 1024      # of a sketch; the bands use the first BANDS * WIDTH
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -53,19 +58,42 @@ def bands(rows: np.ndarray, bands_: int, width: int) -> np.ndarray:
     return h
 
 
+def packed(rows: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, thirty-two coordinates to a 64-bit word."""
+    bits = (rows & U(3)).reshape(len(rows), -1, 32) << (U(2) * np.arange(32, dtype=U))
+    return np.bitwise_or.reduce(bits, axis=2)
+
+
+def alike(x: str, y: str, percent: int) -> Column:
+    """Whether two packed sketches agree as often as sets of the wanted similarity do, less four standard deviations. Unequal
+    coordinates agree in their two bits once in four."""
+    agree = percent / 100 + (1 - percent / 100) / 4
+    most = int((1 - agree + 4 * (agree * (1 - agree) / COORDINATES) ** 0.5) * COORDINATES)
+    def differing(i):
+        v = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        return F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return reduce(lambda a, b: a + b, [differing(i) for i in range(COORDINATES // 32)]) <= most
+
+
+def first_common(x: str, y: str, bands_: int) -> Column:
+    """The first of the bands in which two items agree; a pair counts in that one only."""
+    return F.coalesce(*[F.when(F.col(x)[i] == F.col(y)[i], F.col(x)[i]) for i in range(bands_)])
+
+
 def signatures(df: DataFrame, id_: str, text: str, words: int, bands_: int, width: int) -> DataFrame:
-    """id, n_shingles, set_hi, set_lo (a 128-bit name of the shingle set), bands."""
+    """id, n_shingles, set_hi, set_lo (a 128-bit name of the shingle set), bands, sketch (packed)."""
     def make():
         def batch(texts: list) -> list[pa.Array]:
             sets = shingles(texts, words)
-            keys = bands(sketches(sets, bands_ * width), bands_, width) if sets else np.zeros((0, bands_), U)
+            rows = sketches(sets, COORDINATES)
+            keys, short = bands(rows[:, :bands_ * width], bands_, width), packed(rows)
             name = [(np.add.reduce(mix(s), dtype=U), np.add.reduce(mix(s ^ U(0x5555555555555555)), dtype=U)) for s in sets]
             hi, lo = (np.array([x[k] for x in name], dtype=U).astype(np.int64) for k in (0, 1))
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo),
-                    lists([keys[i] if len(s) else keys[i][:0] for i, s in enumerate(sets)], pa.int64())]
+            filled = lambda x: lists([x[i] if len(s) else x[i][:0] for i, s in enumerate(sets)], pa.int64())
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), filled(keys), filled(short)]
         return batch
 
-    return map_texts(df, [id_], text, make, "n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>")
+    return map_texts(df, [id_], text, make, "n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>, sketch array<bigint>")
 
 
 def sets_of(df: DataFrame, id_: str, text: str, words: int) -> DataFrame:
@@ -83,9 +111,9 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", word
     s = stored(signatures(df, id_, text, words, bands_, width), "signatures")
     filled = s.where((F.col("n_shingles") > 0) & F.col(id_).isNotNull())
     reps = stored(filled.groupBy("set_hi", "set_lo").agg(F.min(id_).alias("rep")), "sets")
-    bucket = filled.join(reps, ["set_hi", "set_lo"]).where(F.col(id_) == F.col("rep")) \
-        .select(F.explode("bands").alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"))
-    bucket = stored(bucket, "bands")
+    items = filled.join(reps, ["set_hi", "set_lo"]).where(F.col(id_) == F.col("rep"))
+    items = stored(items.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "bands", "sketch"), "items")
+    bucket = items.select(F.explode("bands").alias("key"), "id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = stored(pairs.select(F.col("a").alias(id_)).union(pairs.select(F.col("b").alias(id_))).distinct(), "wanted")
@@ -97,7 +125,10 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", word
         return both.withColumn("common", common) \
             .where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
 
-    comps, _ = link(bucket, verify, percent / 100)
+    def plausible(x: str, y: str) -> Column:
+        return alike(f"{x}.sketch", f"{y}.sketch", percent) & (first_common(f"{x}.bands", f"{y}.bands", bands_) == F.col("key"))
+
+    comps, _ = link(bucket, verify, ratio(percent / 100), items.select("id", F.struct("sketch", "bands").alias("sketch")), plausible)
     comps = comps.select(F.col("id").alias("rep"), "comp")
     placed = stored(reps.join(comps, "rep", "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("component_id")), "placed")
     named = s.select(id_, "n_shingles", "set_hi", "set_lo", F.col("n_shingles").alias("_n"))
