@@ -97,6 +97,39 @@ class Merges:
             at[last] = -1
 
 
+# The byte characters of byte-level vocabularies: printable bytes stand for themselves, the others for 256 onwards.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _SELF} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SELF))}
+# Beyond this plane the two libraries know different versions of Unicode; texts with such characters are split by the tokenizer's.
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+# Sizes of distinct pre-tokens that a task remembers.
+REMEMBERED = 400_000
+
+
+class Splitter:
+    """A text's pre-tokens in vocabulary characters. A plain split by an expression runs in the regex module; everything else in
+    the tokenizer library."""
+
+    def __init__(self, shell: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        rest, spec = Tokenizer.from_str(shell), json.loads(shell)
+        self.normal, self.split = rest.normalizer, rest.pre_tokenizer
+        self.find = None
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [p["type"] for p in parts] == ["Split", "ByteLevel"] and "Regex" in parts[0]["pattern"] and parts[0]["invert"] \
+                and parts[0]["behavior"] == "Removed" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]:
+            self.find = regex.compile(parts[0]["pattern"]["Regex"]).findall
+
+    def __call__(self, text: str) -> tuple[list[str], bool]:
+        """The pre-tokens, and whether they are still text rather than vocabulary characters."""
+        text = self.normal.normalize_str(text) if self.normal else text
+        if self.find and not _BEYOND.search(text):
+            return self.find(text), True
+        return [t for t, _ in self.split.pre_tokenize_str(text)], False
+
+
 def count(df: DataFrame, keep: list[str], vocabulary: str, text: str = "text") -> DataFrame:
     """`keep`, n_bytes, n_tokens. `vocabulary` is the path of a tokenizers file with a BPE model, read on the driver."""
     with open(vocabulary, encoding="utf-8") as f:
@@ -108,35 +141,29 @@ def count(df: DataFrame, keep: list[str], vocabulary: str, text: str = "text") -
     shell = json.dumps(spec | {"added_tokens": [], "model": {**spec["model"], "vocab": {}, "merges": []}})
 
     def make():
-        from tokenizers import Tokenizer
-
-        rest = Tokenizer.from_str(shell)
-        normal, split = rest.normalizer, rest.pre_tokenizer
+        split = Splitter(shell)
         cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        sizes: dict[bool, dict[str, int]] = {True: {}, False: {}}
 
         def batch(texts: list) -> list[pa.Array]:
-            known: dict[str, int] = {}
-            owners, which = [], []
-            fixed = np.zeros(len(texts), dtype=np.int64)
+            for kind in sizes:
+                if len(sizes[kind]) > REMEMBERED:
+                    sizes[kind] = {}
+            totals, found = [0] * len(texts), []
             for i, raw in enumerate(texts):
                 if not raw:
                     continue
                 whole = raw.decode("utf-8", "replace")
-                parts = [whole]
-                if cut and "<|" in whole:
-                    parts = cut.split(whole)
-                    fixed[i] = len(parts) - 1
-                for part in parts:
-                    if part:
-                        tokens = split.pre_tokenize_str(normal.normalize_str(part))
-                        which.extend([known.setdefault(t, len(known)) for t, _ in tokens])
-                        owners.append((i, len(tokens)))
-            sums = fixed
-            if which:
-                sizes = merges.count(list(known))
-                owner = np.repeat([o for o, _ in owners], [n for _, n in owners])
-                sums = fixed + np.bincount(owner, weights=sizes[np.array(which)], minlength=len(texts)).astype(np.int64)
-            return [pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(sums, pa.int64())]
+                parts = cut.split(whole) if cut else [whole]
+                totals[i] = len(parts) - 1
+                found += [(i, *split(p)) for p in parts if p]
+            for as_text in sizes:
+                new = list({t for _, tokens, kind in found if kind == as_text for t in tokens if t not in sizes[as_text]})
+                chars = [t.encode().decode("latin-1").translate(BYTE_CHARS) for t in new] if as_text else new
+                sizes[as_text].update(zip(new, merges.count(chars).tolist(), strict=True))
+            for i, tokens, kind in found:
+                totals[i] += sum(map(sizes[kind].__getitem__, tokens))
+            return [pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(totals, pa.int64())]
         return batch
 
     return map_texts(df, keep, text, make, "n_bytes bigint, n_tokens bigint")
