@@ -1,13 +1,12 @@
 """Benchmark decontamination in DataFrame operations only.
 
-Item-sized windows of the documents and the benchmark items are fingerprinted with a 64-bit SimHash of their words. Eight blocks
-of eight bits index the fingerprints: any two within seven bits of each other agree in a block, so the join on (size, block)
-finds all of them. What it finds within that radius is verified by weighted similarity of whole five-word shingle sets, in which
-a shingle counts the more, the fewer benchmark items have it.
+Item-sized windows of the documents and the benchmark items are compared by weighted similarity of whole five-word shingle sets, in
+which a shingle counts the more, the fewer benchmark items have it. Every window of every document counts; nothing is sampled.
 
-Windows are laid where they can matter: a window without a single five-word shingle of some item has similarity 0 with every
-item. Each shingle that a document shares with an item places one window of that item's size, so that the shingle stands in it
-where it stands in the item. The shingles of the benchmark are broadcast if counted to be few, else joined by shuffle.
+What cannot match is left out by bounds that hold for any window: its similarity with an item is at most the share of the item's
+weight that it has, and that is at most the share that its document has. Documents with too small a share of an item go first, then
+windows; all windows that are left are verified. A window without a whole shingle of the item has similarity 0. The shingles of
+the benchmark are broadcast if counted to be few, else joined by shuffle.
 
 Items and documents with fewer than five words are one shingle. Null or empty texts match nothing; null ids match nothing.
 Repeated rows and rows that share an id count as one document. Other columns are not read.
@@ -21,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, stored
-from .simhash import block, fingerprint, sums, words
+from .simhash import words
 
 SHINGLE = 5
-RADIUS = 7
 SIMILARITY = 0.8
 
 
@@ -41,52 +39,46 @@ def _set(df: DataFrame, keep: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(*keep, "sh").distinct()
 
 
-def _fingerprints(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, fp: SimHash of the words of `w` (items are far shorter than a fingerprint's 16383 words)."""
-    e = df.select(*keep, F.explode("w").alias("word")).select(*keep, F.xxhash64("word").alias("h"))
-    return e.groupBy(*keep).agg(*sums(F.col("h")), F.count(F.lit(1)).alias("_m")).select(*keep, fingerprint("_m").alias("fp"))
-
-
 def matches(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
             similarity: float = SIMILARITY) -> DataFrame:
     """id, item id, start (word), size, similarity: the best window of each document for each item that it holds."""
     it = stored(items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words(item_text).alias("w"))
                 .where(F.size("w") > 0).dropDuplicates(["item"]).withColumn("n", F.size("w")), "items")
     lengths = [r[0] for r in it.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()]    # at most five values
-    placed = stored(reduce(DataFrame.unionByName, [_shingles(it.where(F.least("n", F.lit(SHINGLE)) == k), ["item", "n"], k) for k in lengths])
-                    if lengths else _shingles(it, ["item", "n"], SHINGLE), "item_shingles")
-    d = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("doc"), words(text).alias("w"))
-
-    spots = small(stored(placed.select("sh", "n", "at").distinct(), "spots"))
-    hits = [_shingles(d, ["doc"], k).join(spots.withColumnRenamed("at", "item_at"), "sh") for k in lengths]
-    windows = [h.select("doc", F.greatest(F.col("at") - F.col("item_at"), F.lit(0)).alias("start"), "n").distinct() for h in hits]
-    none = it.select(F.lit(None).cast(dict(d.dtypes)["doc"]).alias("doc"), F.lit(0).alias("start"), "n").where(F.lit(False))
-    windows = stored(reduce(DataFrame.unionByName, windows, none).distinct(), "windows")
-
-    # the words of every window, as far as the document goes
-    laid = d.join(small(windows), "doc").select("doc", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("w")) \
-        .dropDuplicates(["doc", "start", "n"])
-    laid = stored(laid, "laid")
-    keys = F.array(*[F.lit(b * 256) + block("fp", b, 8) for b in range(8)])
-    wf = stored(_fingerprints(laid, ["doc", "start", "n"]), "window_prints").withColumn("key", F.explode(keys))
-    itf = stored(_fingerprints(it, ["item", "n"]), "item_prints").withColumnRenamed("fp", "item_fp")
-    itf = stored(itf.withColumn("key", F.explode(F.array(*[F.lit(b * 256) + block("item_fp", b, 8) for b in range(8)]))), "item_keys")
-    near = wf.join(small(itf), ["n", "key"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = stored(near.select("doc", "start", "n", "item").distinct(), "near")
+    # texts of one id are told apart, so that no window is put together from two of them
+    text_of = ["doc", "version"]
+    d = docs.where(F.col(id_).isNotNull()).select(F.col(id_).alias("doc"), F.xxhash64(text).alias("version"), words(text).alias("w"))
 
     # weights from all items; a shingle of no item weighs like one of a single item
     item_sets = stored(_set(it, ["item"]), "item_sets")
     total = it.count()
     weight = F.log(1 + F.lit(float(total)) / F.greatest(F.col("df"), F.lit(1)))
     df_ = small(stored(item_sets.groupBy("sh").agg(F.count(F.lit(1)).alias("df")), "df"))
-    item_weights = item_sets.join(df_, "sh").withColumn("weight", weight)
-    item_sum = small(stored(item_weights.groupBy("item").agg(F.sum("weight").alias("item_weight")), "item_weights"))
-    found = laid.join(near.select("doc", "start", "n").distinct(), ["doc", "start", "n"], "left_semi")
-    sets = stored(_set(found, ["doc", "start", "n"]).join(df_, "sh", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("weight", weight), "window_sets")
-    window_sum = sets.groupBy("doc", "start", "n").agg(F.sum("weight").alias("window_weight"))
-    common = sets.join(near, ["doc", "start", "n"]).join(small(item_sets), ["item", "sh"], "left_semi") \
-        .groupBy("doc", "start", "n", "item").agg(F.sum("weight").alias("common"))
-    scored = common.join(window_sum, ["doc", "start", "n"]).join(item_sum, "item") \
+    weighed = small(stored(item_sets.join(df_, "sh").select("item", "sh", weight.alias("weight")), "weights"))
+    item_sum = small(stored(weighed.groupBy("item").agg(F.sum("weight").alias("item_weight")), "item_weights"))
+
+    # where the documents have shingles of items
+    known = df_.select("sh")
+    hits = [_shingles(d, text_of, k).join(known, "sh", "left_semi").select(*text_of, "at", "sh", F.lit(k).alias("k")) for k in lengths]
+    none = d.select(*text_of, F.lit(0).alias("at"), F.lit(0).cast("long").alias("sh"), F.lit(0).alias("k")).where(F.lit(False))
+    hits = stored(reduce(DataFrame.unionByName, hits, none).distinct(), "hits")
+    enough = similarity * F.col("item_weight") - 1e-6
+    share = hits.select(*text_of, "sh").distinct().join(weighed, "sh").groupBy(*text_of, "item").agg(F.sum("weight").alias("share"))
+    sized = item_sum.join(it.select("item", "n"), "item")
+    pairs = stored(share.join(sized, "item").where(F.col("share") >= enough).select(*text_of, "item", "n", "item_weight"), "pairs")
+
+    # every window of the item's size that holds a shared shingle whole, with the weight of all that it holds
+    window = [*text_of, "start", "n"]
+    starts = F.sequence(F.greatest(F.col("at") - F.col("n") + F.col("k"), F.lit(0)), F.col("at"))
+    common = hits.join(pairs, text_of).join(weighed, ["item", "sh"]).select(*text_of, "n", "item", "item_weight", "sh", "weight", F.explode(starts).alias("start")) \
+        .distinct().groupBy(*window, "item", "item_weight").agg(F.sum("weight").alias("common"))
+    common = stored(common.where(F.col("common") >= enough), "common")
+
+    # the words of these windows, as far as the document goes
+    laid = d.join(small(stored(common.select(*window).distinct(), "windows")), text_of).select(*window, F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+    sets = _set(laid, window).join(df_, "sh", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("weight", weight)
+    window_sum = stored(sets.groupBy(*window).agg(F.sum("weight").alias("window_weight")), "window_weights")
+    scored = common.join(window_sum, window) \
         .withColumn("similarity", F.round(F.col("common") / (F.col("window_weight") + F.col("item_weight") - F.col("common")), 9)) \
         .where(F.col("similarity") >= similarity)
     best = F.min_by(F.struct("start", "n", "similarity"), F.struct(-F.col("similarity"), "start"))

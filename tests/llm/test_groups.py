@@ -188,6 +188,38 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.matches(documents(spark, texts), empty).count() == 0
 
 
+def test_decontamination_misses_no_near_copy_of_a_short_item(spark):
+    """Two to four words changed at the ends or anywhere, a word put in or left out, and two texts of one id: the pairs of brute force."""
+    rng = random.Random(23)
+    items = [(i, prose(rng, 16 + i % 10, 2000)) for i in range(20)]
+    texts = []
+    for i in range(200):
+        w, kind = items[i % 20][1].split(), i // 20
+        if kind < 3:
+            w[-2 - kind:] = [f"x{j}" for j in range(2 + kind)]
+        elif kind < 5:
+            w[:kind - 1] = [f"x{j}" for j in range(kind - 1)]
+        elif kind == 5:
+            w[0], w[-1] = "x0", "x1"
+        elif kind == 6:
+            w[:2], w[-2:] = ["x0", "x1"], ["x2", "x3"]
+        elif kind == 7:
+            w.insert(len(w) // 2, "x0")
+        elif kind == 8:
+            del w[rng.choice([0, 1, -2, -1])]
+        else:
+            w[rng.randrange(len(w))] = "x0"
+        texts.append(" ".join([prose(rng, rng.randrange(30), 2000), *w, prose(rng, rng.randrange(30), 2000)]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(documents(spark, texts), bench).collect()}
+    want = brute_matches(texts, items)
+    assert len(want) > 40 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    halves = items[0][1].split()
+    split = [(1, " ".join(halves[:9])), (1, " ".join(["x"] * 9 + halves[9:])), (2, items[0][1]), (2, "else")]
+    found = decontaminate.matches(spark.createDataFrame(split, "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.similarity) for r in found] == [(2, 0, 1.0)]
+
+
 def brute_targets(sizes):
     names = sorted([s for s in sizes if s is not None]) + ([None] if None in sizes else [])
     w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
