@@ -76,6 +76,7 @@ def matches(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str =
 
     # the words of these windows, as far as the document goes
     laid = d.join(small(stored(common.select(*window).distinct(), "windows")), text_of).select(*window, F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+    laid = stored(laid.distinct(), "laid")
     sets = _set(laid, window).join(df_, "sh", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("weight", weight)
     window_sum = stored(sets.groupBy(*window).agg(F.sum("weight").alias("window_weight")), "window_weights")
     scored = common.join(window_sum, window) \
