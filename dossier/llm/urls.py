@@ -3,7 +3,8 @@
 Rules are (host, path) prefixes; the longest that fits a url decides. Pages that no rule fits take their host's verdict:
 personalised PageRank spreads trust along links from hosts whose pages are mostly allowed, and distrust against the links to hosts
 that link to mostly blocked ones; a host is blocked if its distrust exceeds its trust by a factor. Edges are links between
-hosts in the pages' html and, as a site answers for its parts, host to parent domain and back. Hosts and edges stay tables.
+hosts in the pages' html and, as a site answers for its parts, host to parent domain and back. Every ancestor of a host down to two
+labels is a node, with pages or without, so hosts of one domain are connected. Hosts and edges stay tables.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Null html has no links. Repeated pages
 each give a row and their links count each time. Other columns are not read.
@@ -58,6 +59,17 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
         .groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def parents(names: DataFrame) -> DataFrame:
+    """src, dst, weight: every host and ancestor of more than two labels with the domain it is part of. Addresses in numbers are no
+    names and have none."""
+    named = names.where(~F.col("host").rlike(r"^(\[.*|[0-9.]+(:[0-9]*)?)$")).select(F.split("host", r"\.").alias("labels"), F.size(F.split("host", r"\.")).alias("n"))
+    cuts = F.when(F.col("n") > 2, F.sequence(F.lit(1), F.greatest(F.col("n") - 2, F.lit(1))))
+    cut = named.select("labels", "n", F.explode(cuts).alias("i"))
+    def tail(i):
+        return F.array_join(F.slice("labels", i, F.col("n")), ".")
+    return cut.select(tail(F.col("i")).alias("src"), tail(F.col("i") + 1).alias("dst")).distinct().withColumn("weight", F.lit(PARENT))
+
+
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """host, rank: personalised PageRank along edges(src, dst, share) from seeds(host, seed), whose seeds sum to 1. Mass at hosts
     without edges returns to nobody, so ranks compare directly between the two directions."""
@@ -79,9 +91,7 @@ def verdicts(pages: DataFrame, id_: str = "page_id", url: str = "url", html: str
                                                                  F.count_if(F.col("said") == "block").alias("blocked")), "hosts")
     cross = stored(links(pages, url, html), "links")
     names = stored(counts.select("host").union(cross.select("src")).union(cross.select("dst")).distinct(), "names")
-    labels = F.split("host", r"\.")
-    up = names.where(F.size(labels) > 2).select(F.col("host").alias("src"), F.regexp_replace("host", r"^[^.]*\.", "").alias("dst"), F.lit(PARENT).alias("weight"))
-    up = up.join(names.withColumnRenamed("host", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+    up = stored(parents(names), "parents")
     all_ = [cross, up, up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")]
     edges = stored(reduce(DataFrame.unionByName, all_).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
 

@@ -306,6 +306,15 @@ def test_urls_trust_and_distrust_spread(spark):
     assert got == {0: "allow", 1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow"}
 
 
+def test_urls_distrust_reaches_hosts_of_one_domain_without_pages_of_its_own(spark):
+    rows = [(0, "http://a.bad.net/es/1", None), (1, "http://b.bad.net/x", None), (2, "http://c.d.bad.net/x", None), (3, "http://a.good.com/", None),
+            (4, "http://b.other.org/x", None), (5, "http://10.0.0.1/x", None), (6, "http://10.0.0.2/x", None)]
+    got = {r.page_id: r.verdict for r in urls.verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow"}
+    names = spark.createDataFrame([("a.b.c.d",), ("x.c.d",), ("c.d",), ("d",), ("10.0.0.1",), ("10.0.0.1:80",)], "host string")
+    assert sorted((r.src, r.dst) for r in urls.parents(names).collect()) == [("a.b.c.d", "b.c.d"), ("b.c.d", "c.d"), ("x.c.d", "c.d")]
+
+
 def test_spread_is_personalised_pagerank(spark):
     rng = random.Random(19)
     pairs = sorted({(a, b) for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(40)) if a != b})
