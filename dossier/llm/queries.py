@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, mixing, neardup, periodic, pii, quality, secrets, tokens, trie, urls
+from . import decontaminate, fingerprint, licenses, linededup, mixing, neardup, periodic, pii, quality, secrets, tokens, trie, urls
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,11 @@ def op11_prefix_trie(spark, sf_dir):
     return trie.build(trie.rebuilt(trie.turns(table(spark, sf_dir, "conversations"))))
 
 
+@query()
+def op12_fingerprints(spark, sf_dir):
+    return fingerprint.digests(documents(spark, sf_dir))
+
+
 @query()
 def op13_periodic_runs(spark, sf_dir):
     return periodic.digests(periodic.planted(documents(spark, sf_dir)), ["doc_id"])
