@@ -1,0 +1,266 @@
+"""Prefix trie, fingerprints and periodic runs against brute force."""
+
+import hashlib
+import random
+import re
+import sys
+import zlib
+from collections import defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+import xxhash
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import documents, words
+
+from dossier.llm import fingerprint, periodic, queries, trie
+
+TURN = "conv_id long, turn long, role string, text string"
+
+
+def same(got, want):
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---- periodic runs -----------------------------------------------------------------------------
+
+def brute_runs(w):
+    out = []
+    for q in range(1, len(w) // 4 + 1):
+        i = q
+        while i < len(w):
+            j = i
+            while j < len(w) and w[j] == w[j - q]:
+                j += 1
+            start, n = i - q, j - i + q
+            part = w[start:j]
+            if n >= max(6, 4 * q) and not any(part[r:] == part[:-r] for r in range(1, q)):
+                out.append((start, n, q))
+            i = max(i + 1, j + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_runs_of_random_and_repetitive_words():
+    rng = random.Random(31)
+    for _ in range(1500):
+        v = rng.choice([1, 2, 3, 5, 30])
+        w = [b"%d" % rng.randrange(v) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            part = [b"%d" % rng.randrange(v) for _ in range(rng.randint(1, 6))]
+            at = rng.randint(0, len(w))
+            w[at:at] = (part * rng.randint(2, 7))[:rng.randint(1, 40)]
+        assert periodic.runs_of(w) == brute_runs(w)
+
+
+def test_suspect_ranges_hold_every_run():
+    rng = random.Random(32)
+    for _ in range(300):
+        w = [rng.randrange(3) for _ in range(40)]
+        ranges = list(periodic.suspects(np.array(w)))
+        assert all(any(a <= s and s + n <= b for a, b in ranges) for s, n, _ in brute_runs(w))
+        assert all(b <= c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+def test_automaton_recognises_the_suffixes():
+    """The states of prefixes are those whose paths to the root hold every suffix length once."""
+    seq = [1, 2, 1, 2, 2, 1, 2, 1]
+    link, length, at = periodic.automaton(seq)
+    for i, state in enumerate(at):
+        held, x = [], state
+        while x > 1:
+            held += list(range(length[link[x]] + 1, length[x] + 1))
+            x = link[x]
+        assert sorted(held) == list(range(1, i + 2))
+
+
+def test_paths_recolour_by_access():
+    rng = random.Random(33)
+    parent = [0, 0] + [rng.randrange(1, x) for x in range(2, 60)]
+    paths, last = periodic.Paths(parent), {}
+    for step in range(400):
+        x = rng.randrange(1, 60)
+        line = [x]
+        while parent[line[-1]]:
+            line.append(parent[line[-1]])
+        seen, want = paths.access(x, step), []
+        for y in line:                                   # colours from the deepest state up, each with its deepest state
+            if not want or want[-1][1] != last.get(y, -1):
+                want.append((y, last.get(y, -1)))
+        merged = []
+        for y, c in seen:
+            if not merged or merged[-1][1] != c:
+                merged.append((y, c))
+        assert merged == want
+        last.update({y: step for y in line})
+
+
+def brute_periodic(rows):
+    out = []
+    for i, text in rows:
+        w = words(text)
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and w:
+            n, g = len(w), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[j] if j < a else w[a + (j - a) % p] for j in range(n)]
+        runs, gone = brute_runs(w), set()
+        for s, n, q in runs:
+            gone.update(range(s + q, s + n))
+        best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=None)
+        four = (None,) * 4 if best is None else (*best, 1000 * best[1] // best[2])
+        out.append((i, len(runs), *four, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(" ".join(x for j, x in enumerate(w) if j not in gone))))
+    return out
+
+
+def test_periodic_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(34)
+    texts = []
+    for i in range(200):
+        t = " ".join(rng.choice(["é", "b", "cc", "A", "a"] if i % 3 else [f"w{k}" for k in range(50)]) for _ in range(rng.randint(0, 120)))
+        texts.append(t.replace(" ", rng.choice([" ", "\n", "\t ", "\x0b"])))
+    texts += [None, "", " \n", "x " * 3000, "one two three four five six seven " * 700, "ab " * 5, "ab " * 6]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect()
+    same(got, brute_periodic(list(enumerate(texts))))
+    assert sum(r.n_runs > 0 for r in got) > 8
+
+
+def test_periodic_of_odd_tables(spark):
+    rows = [(None, "a b " * 6, "x"), (1, "a b " * 6, "y"), (1, "a b " * 6, "y"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_runs string").withColumnRenamed("n_runs", "start")
+    got = periodic.scan(df.drop("start"), ["doc_id"]).collect()
+    assert [(r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.collapsed) for r in got] == [(1, 0, 12, 2, 6000, "a b")] * 3 + [(0, None, None, None, None, "")]
+    same(periodic.digests(periodic.planted(df), ["doc_id"]).select("doc_id", "n_runs").collect(), [(None, 1), (1, 1), (1, 1), (2, 0)])
+    assert periodic.digests(periodic.planted(df.where("false")), ["doc_id"]).count() == 0
+
+
+# ---- fingerprints ------------------------------------------------------------------------------
+
+def brute_sketch(text, k=fingerprint.K):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+    out = set()
+    for i in range(max(len(w) - 4, 1) if w else 0):
+        h = 42
+        for x in w[i:i + 5]:
+            h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+        out.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(out)[:k]
+
+
+def brute_likeness(a, b, k=fingerprint.K):
+    u = sorted({*a, *b})[:k]
+    return round(len({*a} & {*b} & {*u}) / len(u), 9) if u else 1.0
+
+
+def brute_fingerprints(rows):
+    """Rows must have distinct ids or equal texts."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    out = []
+    for p, (i, t) in enumerate(rows):
+        after, half = rows[(p + 1) % len(rows)][1], len(t) // 2
+        edited = t[:len(t) - half] + after[:half]
+        a, b, c = map(brute_sketch, (t, edited, after))
+        show = lambda s: "".join(f"{x & (2 ** 64 - 1):016x}" for x in s)
+        out.append((i, len(t), sha(edited), show(a), show(b), brute_likeness(a, b), brute_likeness(a, c)))
+    return out
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(35)
+    texts = [" ".join(rng.choice("abcdefghé𝔘") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += [None, "", "\t \n", "long " * 5000, " ".join(f"w{i}" for i in range(4000)), texts[3], texts[3]]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r)[:7] for r in queries.QUERIES["op12_fingerprints"](spark, str(tmp_path)).collect()]
+    same(got, brute_fingerprints(list(enumerate(texts))))
+
+
+@pytest.mark.parametrize("rows", [[], [(5, "only one document is here now")], [(None, "x y z"), (1, "a b c d e f g"), (2, None)],
+                                  [(1, "a b c d e f g h")] * 4 + [(2, "one")], [(3, None)] * 3])
+def test_fingerprints_of_odd_tables(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k1", "'x' as piece", "2 as copies")
+    same([tuple(r)[:7] for r in fingerprint.digests(df).collect()], brute_fingerprints(rows))
+
+
+def test_rows_that_share_an_id_follow_one_another(spark):
+    rows = [(1, "first text of the two"), (1, "second text of the two"), (2, "the last one")]
+    got = {r.edited_sha256 for r in fingerprint.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    splice = lambda a, b: sha(a[:len(a) - len(a) // 2] + b[:len(a) // 2])
+    a, b, c = (t for _, t in rows)
+    assert got in ({splice(a, b), splice(b, c), splice(c, a)}, {splice(b, a), splice(a, c), splice(c, b)})
+
+
+def test_sketches_merge_and_estimate(spark):
+    rng = random.Random(36)
+    common = [f"c{rng.random()}" for _ in range(3000)]
+    a, b = [f"a{rng.random()}" for _ in range(1000)], [f"b{rng.random()}" for _ in range(2000)]
+    x, y = " ".join(common + a), " ".join(common + b)
+    row = spark.createDataFrame([(x, y)], "x string, y string").select(
+        *[fingerprint.bottom(fingerprint.shingles(fingerprint.words(c)), 512).alias(c) for c in "xy"]).select(
+        fingerprint.resemblance("x", "y", 512).alias("j"), fingerprint.containment("x", "y", 512).alias("c"), fingerprint.distinct("x", 512).alias("n"),
+        fingerprint.merge("x", "y", 512).alias("m")).first()
+    assert abs(row.j - 0.5) < 0.1 and abs(row.c - 0.75) < 0.1 and abs(row.n - 4000) < 600
+    assert row.m == sorted({*brute_sketch(x, 512), *brute_sketch(y, 512)})[:512]
+
+
+# ---- prefix trie -------------------------------------------------------------------------------
+
+def brute_trie(rows):
+    conv = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            conv[c].append((t is not None, t or 0, r or "", x or ""))
+    conv = {c: [t[2:] for t in sorted(v)] for c, v in conv.items()}
+    members, below = defaultdict(list), defaultdict(set)
+    own = {c: conv.get(c - c % 5, [])[:(h := zlib.crc32(str(c).encode()) % 9)] + s[h:] for c, s in conv.items()}
+    for c, s in own.items():
+        for d in range(len(s) + 1):
+            members[tuple(s[:d])].append(c)
+    for k in members:
+        if k:
+            below[k[:-1]].add(k)
+
+    def sums(k):
+        leaves, saved = 0 if below[k] else 1, (len(members[k]) - 1) * len(k[-1][1].encode()) if k else 0
+        for x in below[k]:
+            a, b = sums(x)
+            leaves, saved = leaves + a, saved + b
+        return leaves, saved
+
+    return [(min(m), len(k), min(members[k[:-1]]) if k else None, len(m), len(below[k]), *sums(k), sha(",".join(map(str, sorted(c for c in m if len(own[c]) == len(k))))))
+            for k, m in members.items()]
+
+
+def nodes(spark, rows):
+    return trie.build(trie.rebuilt(trie.turns(spark.createDataFrame(rows, TURN)))).collect()
+
+
+def test_trie_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(37)
+    rows = [(c if c % 7 else c + 100000, t, rng.choice(["u", "a", None]), rng.choice(["x", "yé", "", "long text", None])) for c in range(120) for t in range(rng.randint(1, 14))]
+    rows += [(None, 1, "u", "x"), (1000, None, "u", "x"), (1000, 1, "u", "y"), (1004, 0, "u", "z")]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, TURN).selectExpr("*", "1 as n", "2 as p").write.parquet(str(tmp_path / "conversations.parquet"))
+    same(queries.QUERIES["op11_prefix_trie"](spark, str(tmp_path)).collect(), brute_trie(rows))
+
+
+def test_trie_of_one_path_and_of_copies(spark):
+    rows = [(c, t, "u", f"t{t}") for c in range(0, 24) for t in range(c % 9 + 1)] + [(c, 0, "u", "same") for c in range(30, 60)]
+    same(nodes(spark, rows), brute_trie(rows))
+
+
+def test_trie_of_nothing(spark):
+    assert nodes(spark, []) == [] and nodes(spark, [(None, 1, "u", "x")]) == []
+    same(nodes(spark, [(4, 1, None, None)]), brute_trie([(4, 1, None, None)]))
+
+
+def test_fattest_number(spark):
+    pairs = [(a, b) for a in range(0, 40) for b in range(a + 1, 41)]
+    got = spark.createDataFrame(pairs, "a int, b int").select("a", "b", trie.fattest(trie.F.col("a"), trie.F.col("b")).alias("f")).collect()
+    assert all(r.f == max(range(r.a + 1, r.b + 1), key=lambda x: x & -x) for r in got)
