@@ -10,7 +10,7 @@ from ..operators import budget as Bd
 from ..operators import evalkit as E
 from ..operators import parse as P
 from ..operators import rank as R
-from ..session import small_side
+from ..operators import termscan as A
 from ..sources.tables import notes, questions, table
 from . import sqltext as Q
 from .registry import query
@@ -20,37 +20,9 @@ def docs(spark, sf) -> DataFrame:
     return notes(spark, sf).select(F.col("doc_id").alias("doc"), "text", "date", F.col("source").alias("corpus"), "rel")
 
 
-def short_passages(docs_: DataFrame, questions_: DataFrame) -> DataFrame:
-    """(qid, doc) for questions without an inner word: both sides meet on the question's first three (or fewer) characters, which
-    may stand anywhere in a text."""
-    q = questions_.where(F.length("question") > 0).select("qid", "question", F.least(F.length("question"), F.lit(3)).alias("n"))
-    found = docs_.select(F.lit(None).cast(dict(questions_.dtypes)["qid"]).alias("qid"), "doc").where(F.lit(False))
-    for r in q.select("n").distinct().collect():        # 1, 2 or 3
-        g = q.where(F.col("n") == r["n"]).select("qid", "question", F.substring("question", 1, r["n"]).alias("gram"))
-        at = docs_.select("doc", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - r["n"] + 1, F.lit(1)))).alias("i"), "text")
-        seen = at.select("doc", F.substring("text", F.col("i"), F.lit(r["n"])).alias("gram")).join(small_side(g.select("gram").distinct()), "gram").distinct()
-        cand = seen.join(small_side(g), "gram").join(docs_.select("doc", "text"), "doc")
-        found = found.unionByName(cand.where(F.contains("text", F.col("question"))).select("qid", "doc"))
-    return found
-
-
 def passages(docs_: DataFrame, questions_: DataFrame) -> DataFrame:
-    """(qid, doc): documents that hold a question's text verbatim. A word with other characters on both sides within the
-    question must be a whole word of the text, so both sides meet on the question's rarest such word; questions without one
-    meet on their first characters. Then the text is compared."""
-    word = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), 1)
-    q = questions_.select("qid", "question", word(F.col("question")).alias("w"))
-    brief = small_side(q.where(F.size("w") <= 2).select("qid", "question"))
-    extra = short_passages(docs_, brief) if brief.limit(1).count() else None
-    q = q.where(F.size("w") > 2)
-    inner = q.select("qid", "question", F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("word")).distinct()
-    d = docs_.select("doc", F.explode_outer(F.array_distinct(word(F.col("text")))).alias("word"))
-    met = d.join(small_side(inner.select("word").distinct()), "word")
-    freq = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = inner.join(freq, "word").groupBy("qid", "question").agg(F.min(F.struct("n", "word")).alias("m")).select("qid", "question", "m.word")
-    cand = met.join(small_side(rare), "word").join(docs_.select("doc", "text"), "doc")
-    held = cand.where(F.contains("text", F.col("question"))).select("qid", "doc")
-    return (held if extra is None else held.unionByName(extra)).distinct()
+    """(qid, doc): documents that hold a question's text verbatim."""
+    return A.holding(docs_, questions_)
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -130,9 +102,8 @@ select qid, row_number() over (partition by qid order by i) - 1 as pos, doc, max
 def budget_fill(spark, sf):
     """BM25 blocks packed into 4000 tokens per question, skipping what does not fit."""
     d = docs(spark, sf)
-    r = R.bm25(d, questions(spark, sf), None)
-    cost = d.select("doc", (T.tokens(P.rendered("rel", "date", T.strip("text"))) + 1).alias("cost"))
-    r = r.join(cost, "doc")
+    cost = d.select("doc", "text", (T.tokens(P.rendered("rel", "date", T.strip("text"))) + 1).alias("cost"))
+    r = R.bm25_within(cost, questions(spark, sf), 4000)
     order = [F.col("score").desc(), F.col("doc").desc()]
     cand = Bd.bounded_candidates(r, "qid", order, "cost", 4000, 5)
     from pyspark.sql import Window
