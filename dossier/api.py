@@ -80,7 +80,7 @@ def sweep(spark: SparkSession, cfg: VaultConfig, today: str | None = None, home:
     first_files = old.where(~F.col("slug").rlike(r"\.\d+$"))
     cards = cut(K.render_cards(merged, ents, first_files, K.seeds(notes, ents, today), cfg))
     name = F.concat("kind", F.lit("/"), "slug", F.when(F.col("part") > 0, F.concat(F.lit("."), (F.col("part") + 1).cast("string"))).otherwise(F.lit("")), F.lit(".md"))
-    wrote = K.write_texts(cards.select(name.alias("rel"), "text"), cfg.cards_root, datetime.now().strftime("%Y-%m-%d %H:%M"))
+    wrote = K.write_texts(cards.select(name.alias("rel"), "text"), old.select(F.col("card").alias("rel"), "text"), cfg.cards_root, datetime.now().strftime("%Y-%m-%d %H:%M"))
     moved = old.join(ents.select("slug", F.col("kind").alias("now")), "slug").where("kind <> now").select("card")
     n = wrote.agg(F.count_if("written").alias("changed"), F.count(F.lit(1)).alias("files")).first()
     stale = old.where(F.col("slug").rlike(r"\.\d+$")).join(cards.select(name.alias("card")), "card", "left_anti").select("card")
