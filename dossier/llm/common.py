@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, statistics are known, columns can be pruned,
-    and a lost executor costs only the tasks it ran."""
+    and a lost executor costs only the tasks it ran. Inside `scratch` the table goes when the scope ends."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside are deleted at the end. What is given to the yielded function is stored too and outlives the scope, so
+    only such tables may be used after it."""
+    mine: list[str] = []
+    _SCOPES.append(mine)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out, path = stored(df, label), mine.pop()
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path in mine:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # Rows of a broadcast table of ids and a few numbers: tens of MB at most.
 BROADCAST_ROWS = 1_000_000
 

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import scratch, small, stored
 from .simhash import words
 
 SHINGLE = 5
@@ -41,7 +41,12 @@ def _set(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def matches(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
             similarity: float = SIMILARITY) -> DataFrame:
-    """id, item id, start (word), size, similarity: the best window of each document for each item that it holds."""
+    """id, item id, start (word), size, similarity: the best window of each document for each item that it holds (stored)."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_matches(docs, items, id_, text, item_id, item_text, similarity), "matches")
+
+
+def _matches(docs: DataFrame, items: DataFrame, id_: str, text: str, item_id: str, item_text: str, similarity: float) -> DataFrame:
     it = stored(items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), words(item_text).alias("w"))
                 .where(F.size("w") > 0).dropDuplicates(["item"]).withColumn("n", F.size("w")), "items")
     lengths = [r[0] for r in it.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()]    # at most five values
@@ -61,7 +66,8 @@ def matches(docs: DataFrame, items: DataFrame, id_: str = "doc_id", text: str =
     known = df_.select("sh")
     hits = [_shingles(d, text_of, k).join(known, "sh", "left_semi").select(*text_of, "at", "sh", F.lit(k).alias("k")) for k in lengths]
     none = d.select(*text_of, F.lit(0).alias("at"), F.lit(0).cast("long").alias("sh"), F.lit(0).alias("k")).where(F.lit(False))
-    hits = stored(reduce(DataFrame.unionByName, hits, none).distinct(), "hits")
+    # repeated rows give repeated hits; what follows counts each shingle of a document or window once
+    hits = stored(reduce(DataFrame.unionByName, hits, none), "hits")
     enough = similarity * F.col("item_weight") - 1e-6
     share = hits.select(*text_of, "sh").distinct().join(weighed, "sh").groupBy(*text_of, "item").agg(F.sum("weight").alias("share"))
     sized = item_sum.join(it.select("item", "n"), "item")
