@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 
 def ratio(least: float) -> Callable[[str, str], Column]:
@@ -27,7 +27,13 @@ def groups(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id of the stored edges(a, b): comp is the smallest id reachable.
 
     Alternating stars: all neighbours of a node are hung on its smallest neighbour, first the larger ones, then the smaller
-    ones, until every tree is a star. Takes a number of rounds about logarithmic in a chain's length; each round is stored."""
+    ones, until every tree is a star. Takes a number of rounds about logarithmic in a chain's length; each round is stored, and
+    gone once the next one is."""
+    with scratch(edges.sparkSession) as keep:
+        return keep(_stars(edges), "groups")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     e = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,31 +56,36 @@ def groups(edges: DataFrame) -> DataFrame:
 
 def link(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], sketches: DataFrame | None = None,
          plausible: Callable[[str, str], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """buckets(key, id, n): fits(n, n) says cheaply whether two items can be linked at all. `verify` keeps the pairs (a, b) that
-    are links. sketches(id, sketch) and plausible(sketch, sketch) rule out nearly all further pairs of a bucket that are no links
-    before they become rows. Returns (id, comp) of all linked items and the verified links (a, b)."""
+    """buckets(key, id, n): fits(n, n) says cheaply whether two items can be linked at all; it may use `key` too. `verify` keeps the
+    pairs (a, b) that are links. sketches(id, sketch) and plausible(sketch, sketch) rule out nearly all further pairs of a bucket
+    that are no links before they become rows. Returns stored (id, comp) of all linked items and the verified links (a, b)."""
+    with scratch(buckets.sparkSession) as keep:
+        comps, links = _linked(buckets, verify, fits, sketches, plausible)
+        return keep(comps, "groups"), keep(links, "links")
+
+
+def _linked(buckets, verify, fits, sketches, plausible) -> tuple[DataFrame, DataFrame]:
     crowd = stored(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "n")).alias("m")).where("c > 1")
                    .select("key", F.col("m.id").alias("center"), F.col("m.n").alias("center_n")), "crowd")
     members = stored(buckets.join(crowd, "key"), "members")
     star = stored(members.where((F.col("id") != F.col("center")) & fits("n", "center_n"))
                   .select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "star")
     links = stored(verify(star), "links")
-    comps = stored(groups(links), "groups")
-    at = stored(members.select("key", "id", "n", "center").join(comps, "id", "left")
-                .select("key", "id", "n", "center", F.coalesce("comp", "id").alias("comp")), "placed")
-    mixed = stored(at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.max(F.when(F.col("id") == F.col("center"), F.col("comp"))).alias("main"))
-                   .where(F.col("lo") != F.col("hi")).select("key", "main"), "mixed")
-    strays = at.join(mixed, "key").select("key", "id", "n", "comp", "main")
-    strays = stored(strays.withColumn("sketch", F.lit(0)) if sketches is None else strays.join(sketches, "id"), "strays")
-    left = strays.where(F.col("comp") != F.col("main")).select("key", F.col("id").alias("i"), F.col("n").alias("i_n"), F.col("comp").alias("i_comp"),
-                                                              F.col("sketch").alias("i_sketch"))
-    pairs = left.join(strays, "key").where((F.col("comp") != F.col("i_comp")) & fits("n", "i_n")
-                                           & (F.lit(True) if plausible is None else plausible("sketch", "i_sketch")))
+    comps = groups(links)
+    at = stored(members.select("key", "id", "n", "center").join(comps, "id", "left").select("key", "id", "n", "center", F.coalesce("comp", "id").alias("comp")), "placed")
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("center"), F.col("comp"))).alias("main")) \
+        .where(F.col("lo") != F.col("hi")).select("key", "main")
+    strays = at.drop("center").join(stored(mixed, "mixed"), "key").select("key", "id", "n", "comp", "main")
+    known = stored(strays.withColumn("sketch", F.lit(0)) if sketches is None else strays.join(sketches, "id"), "strays")
+    left = known.where(F.col("comp") != F.col("main")).select("key", F.col("id").alias("i"), F.col("n").alias("i_n"), F.col("comp").alias("i_comp"),
+                                                             F.col("sketch").alias("i_sketch"))
+    # two strays meet once: the smaller one asks
+    asks = (F.col("comp") != F.col("i_comp")) & ((F.col("comp") == F.col("main")) | (F.col("i") < F.col("id")))
+    pairs = left.join(known, "key").where(asks & fits("n", "i_n") & (F.lit(True) if plausible is None else plausible("sketch", "i_sketch")))
     pairs = pairs.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
     pairs = stored(pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     more = stored(verify(pairs), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
-        comps = stored(groups(links), "groups")
+        comps = groups(stored(links, "links"))
     return comps, links

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, lists, map_texts, mix, shingles, small, stored
+from .common import U, lists, map_texts, mix, scratch, shingles, small, stored
 from .link import link, ratio
 
 BANDS, WIDTH = 32, 4
@@ -106,8 +106,13 @@ def sets_of(df: DataFrame, id_: str, text: str, words: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
                     bands_: int = BANDS, width: int = WIDTH) -> DataFrame:
-    """id, n_shingles, component_id, kept: documents are linked if 100 * |intersection| >= percent * |union| of their shingle
-    sets; component_id is the smallest id reachable, and one document of each group is kept."""
+    """id, n_shingles, component_id, kept (stored): documents are linked if 100 * |intersection| >= percent * |union| of their
+    shingle sets; component_id is the smallest id reachable, and one document of each group is kept."""
+    with scratch(df.sparkSession) as keep:
+        return keep(_near_duplicates(df, id_, text, words, percent, bands_, width), "near")
+
+
+def _near_duplicates(df: DataFrame, id_: str, text: str, words: int, percent: int, bands_: int, width: int) -> DataFrame:
     s = stored(signatures(df, id_, text, words, bands_, width), "signatures")
     filled = s.where((F.col("n_shingles") > 0) & F.col(id_).isNotNull())
     reps = stored(filled.groupBy("set_hi", "set_lo").agg(F.min(id_).alias("rep")), "sets")
