@@ -331,3 +331,27 @@ def test_spread_is_personalised_pagerank(spark):
     for _ in range(urls.ROUNDS):
         x = urls.DAMPING * m @ x + (1 - urls.DAMPING) * start
     assert all(abs(got.get(str(i), 0) - x[i]) < 1e-12 for i in range(12))
+
+
+def test_texts_that_share_an_id_lose_only_what_is_repeated(spark):
+    rows = [(1, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "totally different unique words here"), (6, "totally different unique words here\nalso own words"),
+            (7, "equal rows stay"), (7, "equal rows stay")]
+    got = sorted((r.row.doc_id, r.kept_text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "alpha beta gamma delta"), (5, ""), (5, "totally different unique words here"), (6, "also own words"), (7, "equal rows stay"), (7, "equal rows stay")]
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from dossier.llm.common import scratch, stored
+    paths = lambda df: [f[len("file://"):].rsplit("/", 1)[0] for f in df.inputFiles()]
+    with scratch(spark) as keep:
+        a = stored(spark.range(3), "a")
+        with scratch(spark) as inner:
+            b = stored(a, "b")
+            c = inner(b, "c")
+            at_b = paths(b)
+        at_a, at_c = paths(a), paths(c)
+        assert not any(map(os.path.exists, at_b)) and all(map(os.path.exists, at_c))
+        d = keep(c, "d")
+    assert not any(map(os.path.exists, at_a + at_c)) and d.count() == 3
