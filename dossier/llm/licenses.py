@@ -2,7 +2,9 @@
 
 The automaton holds every run of words of every template. A text streams through it word by word and yields matching
 statistics: at each word, the longest run ending there that some template contains. Runs that cannot be extended are chained
-per template, in order on both sides, and the share of the template that the best chain covers is the template's score.
+per template, in order on both sides, and the share of the template that the best chain covers is the template's score. A run is laid
+at every place of a template where it stands. The template with most covered words claims its part of the text first; one
+that has no half of its words left outside of claimed parts gives no label, so a licence is not also taken for one that it contains.
 
 Null or empty text: no words, no labels, score 0. Repeated rows each give a row. Other columns are not read.
 """
@@ -31,20 +33,20 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """States are sets of end places of word runs; `ends[state]` maps a template to one place where the state's runs end."""
+    """States are sets of end places of word runs; `ends[state]` maps a template to all places where the state's runs end."""
 
     def __init__(self, templates: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for t, run in enumerate(templates):
             last = 0
             for i, w in enumerate(run):
                 last = self._extend(last, w)
-                self.ends[last].setdefault(t, i)
+                self.ends[last].setdefault(t, set()).add(i)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for t, i in self.ends[s].items():
-                self.ends[self.link[s]].setdefault(t, i)
+            for t, places in self.ends[s].items():
+                self.ends[self.link[s]].setdefault(t, set()).update(places)
 
     def _state(self, length: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
@@ -100,8 +102,8 @@ def chains(runs: list[tuple[int, int, int]], machine: SuffixAutomaton, sizes: li
     """(template, first word, last word, covered share) of each template's best chain."""
     by: dict[int, list] = {}
     for last, length, state in runs:
-        for t, end in machine.ends[state].items():
-            by.setdefault(t, []).append((last - length + 1, last, end - length + 1, end))
+        for t, places in machine.ends[state].items():
+            by.setdefault(t, []).extend((last - length + 1, last, end - length + 1, end) for end in sorted(places))
     out = []
     for t, found in sorted(by.items()):
         best, open_ = (0, 0, 0), []         # open_: (covered words, first, last, place in the template) of chains that may go on
@@ -117,6 +119,19 @@ def chains(runs: list[tuple[int, int, int]], machine: SuffixAutomaton, sizes: li
     return out
 
 
+def claimed(found: list[tuple[int, int, int, float]], sizes: list[int]) -> list[tuple[int, int, int, float]]:
+    """The chains that give their template's label: most covered words first, ties by share, and each on the words that are left to it."""
+    taken: set[int] = set()
+    out = []
+    for c in sorted(found, key=lambda c: (-round(c[3] * sizes[c[0]]), -c[3], c[0])):
+        part = range(c[1], c[2] + 1)
+        free = sum(i not in taken for i in part) / len(part)
+        if c[3] * free >= COVERED:
+            out.append(c)
+            taken.update(part)
+    return sorted(out)
+
+
 def scan(df: DataFrame, keep: list[str], text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """`keep`, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label:first:last of covered templates)."""
     names = [n for n, _ in templates]
@@ -143,9 +158,9 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", templates: list[tup
                             if p[-1] == last and at >= k - 1 and w[at - k + 1:at + 1] == p:
                                 places.append(at - k + 1)
                                 labels.add(label)
-            found = [c for c in chains(machine.runs(w), machine, sizes)]
+            found = chains(machine.runs(w), machine, sizes)
             score = max([c[3] for c in found], default=0.0)
-            covered = [c for c in found if c[3] >= COVERED]
+            covered = claimed([c for c in found if c[3] >= COVERED], sizes)
             every = labels | {names[c[0]] for c in covered}
             return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)),
                     ",".join(sorted(every)), min(1.0, score), ",".join(f"{names[t]}:{a}:{b}" for t, a, b, _ in covered))

@@ -76,6 +76,8 @@ def rates(sized: DataFrame, goals: DataFrame, tolerance: float = 1e-7) -> DataFr
                                     (F.col("open") & far & (hi - lo > 1e-12)).alias("open")), "multipliers")
         if not state.where("open").limit(1).count():
             break
+    else:
+        raise RuntimeError("multipliers did not settle")
     full = F.col("multiplier") >= 60
     return grid.join(small(state), "source_no", "left") \
         .select("source_no", "size", F.coalesce(F.when(full, F.lit(MOST)).otherwise(rate), F.lit(0.0)).alias("rate"))

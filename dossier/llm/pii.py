@@ -3,7 +3,7 @@
 Matches of the base expressions are seeds. The words before a seed are a lexical pattern; every other identifier-like word after
 the same words is an instance of the pattern. Over the graph of patterns and instances, a pattern's confidence for a kind is the
 share of its distinct instances believed to be of that kind (with pseudo-counts), an instance's belief is that of its best
-confident pattern, and rounds of the two discover identifiers that no expression describes. A found identifier adds a span of
+confident pattern, and rounds of the two, until nothing changes, discover identifiers that no expression describes. A found identifier adds a span of
 its kind; spans of the base stay. Random text gives no confident pattern: it needs several distinct instances, nearly all of one kind.
 
 Positions: splitting a text by an expression and extracting what it matches give the gaps and the matches in turn, so their
@@ -35,16 +35,24 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 # Words with a digit or @ that may be identifiers.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 LEAST_CHARS = 6         # of a discovered identifier
-CONTEXT = 48            # characters before an identifier in which its two context words are looked for
 SUPPORT = 5             # distinct instances of a confident pattern, at least
 CONFIDENCE = 0.8
-ROUNDS = 3
+MOST_ROUNDS = 60        # patterns and beliefs settle far earlier; more is an error
 
 _SPAN = "array<struct<start:int,end:int,found:string,before:string>>"
 
 
+_WORD = r"\p{L}\p{M}\p{N}"
+
+
+def _last_words(gap: Column) -> Column:
+    """The last two words of a text, with what stands around them, however far from its end. Read from the end, so that only this part is looked at."""
+    tail = F.reverse(F.regexp_extract(F.reverse(gap), rf"^[^{_WORD}]*+[{_WORD}]*+[^{_WORD}]*+[{_WORD}]*+", 0))
+    return F.regexp_replace(tail, rf"[^{_WORD}]++", " ")
+
+
 def _spans(text: str, expression: str) -> Column:
-    """start, end (code points), the match and the characters before it, for every match."""
+    """start, end (code points), the match and the two words before it, for every match."""
     found = F.regexp_extract_all(text, F.lit(expression), 0)
     gaps = F.split(text, expression, -1)
     each = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
@@ -53,7 +61,7 @@ def _spans(text: str, expression: str) -> Column:
     def step(acc, x):
         start = acc["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"), F.substring(x["g"], -CONTEXT, CONTEXT).alias("before"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found"), _last_words(x["g"]).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(each, zero, step)["out"]).otherwise(F.array().cast(_SPAN))
@@ -101,14 +109,12 @@ def base_spans(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 def _patterns(before: Column) -> Column:
     """The last word, and the last two, before an identifier."""
-    w = F.slice(F.array_remove(F.split(F.lower(before), r"[^\p{L}\p{M}\p{N}]+"), ""), -2, 2)
-    w = F.when(F.size(F.array_remove(F.split(F.lower(before), r"[^\p{L}\p{M}\p{N}]+"), "")) >= 2, w).otherwise(
-        F.array_remove(F.split(F.lower(before), r"[^\p{L}\p{M}\p{N}]+"), ""))
-    return F.array_distinct(F.when(F.size(w) > 0, F.array(F.element_at(w, -1), F.array_join(w, " "))).otherwise(F.array().cast("array<string>")))
+    w = F.array_remove(F.split(F.lower(before), " "), "")
+    return F.when(F.size(w) > 0, F.array_distinct(F.array(F.element_at(w, -1), F.array_join(w, " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """row, kind, start, end of identifiers found by context. `spans` is the stored result of `base_spans`."""
+def discovered(spans: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """row, kind, start, end of identifiers found by context, when neither patterns nor their confidence (to 6 digits) change any more. `spans` is the stored result of `base_spans`."""
     known = spans.select("row", F.explode(F.flatten(F.array(*[_tagged(k) for k in KINDS]))).alias("s"))
     covered = F.flatten(F.array(*KINDS))
     open_ = F.filter("words", lambda w: ~F.exists(covered, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
@@ -118,8 +124,7 @@ def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                                                   F.explode(_patterns(F.col("s.before"))).alias("pattern")), "spots")
     # one edge per pattern and instance; a seed's kind is certain
     edges = stored(spots.groupBy("pattern", "found").agg(F.min("kind").alias("seed")), "edges")
-    belief = None
-    good = None
+    belief = good = seen = None
     for _ in range(rounds):
         e = edges.withColumn("kind", F.col("seed")).withColumn("p", F.lit(1.0)).where("seed is not null")
         if belief is not None:
@@ -130,8 +135,14 @@ def discovered(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         confident = mass.join(size, "pattern").withColumn("confidence", F.col("mass") / (F.col("n") + 0.5)) \
             .where((F.col("confidence") >= CONFIDENCE) & (F.col("mass") >= SUPPORT - 1))
         good = stored(confident.select("pattern", "kind", "confidence"), "patterns")
+        now = tuple(good.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pattern", "kind", F.round("confidence", 6)))).first())
+        if now == seen:
+            break
+        seen = now
         scored = edges.where("seed is null").join(good, "pattern").groupBy("found").agg(F.max(F.struct("confidence", "kind")).alias("b"))
         belief = stored(scored.select("found", F.col("b.kind").alias("kind"), F.col("b.confidence").alias("p")), "belief")
+    else:
+        raise RuntimeError("patterns did not settle")
     return spots.where("kind is null").drop("kind").join(good, "pattern") \
         .groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("row", "start", "end", F.col("b.kind").alias("kind"))
 

@@ -84,7 +84,7 @@ def votes() -> dict[str, F.Column]:
     }
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 20_000) -> np.ndarray:
     """The posterior of good for each vote pattern (rows of -1, 0, 1). The start doubts a document the more, the more rules call
     it bad; every rate keeps a pseudo-count, so an unseen vote is never impossible."""
     post = 0.9 * 0.3 ** (patterns == -1).sum(1)
@@ -103,7 +103,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         if np.abs(new - post).max() < 1e-9:
             return new
         post = new
-    return post
+    raise RuntimeError("the posterior did not settle")
 
 
 def posterior(measured: DataFrame) -> DataFrame:

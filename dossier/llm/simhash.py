@@ -1,7 +1,7 @@
 """64-bit SimHash as four 16-bit counters in each of sixteen sums, so that it is one ordinary aggregation.
 
-Bit k + 16 * lane of a feature's hash is added to counter `lane` of sum k. Up to 16383 features fit; longer inputs are cut into
-pieces of that size and fingerprinted piece by piece.
+Bit k + 16 * lane of a feature's hash is added to counter `lane` of sum k. Up to 16383 features fit; longer inputs take two 32-bit
+counters in each of thirty-two sums (`wide_sums`, `wide_fingerprint`), which give the same fingerprint.
 """
 
 from __future__ import annotations
@@ -35,6 +35,18 @@ def fingerprint(count: Column | str) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
+def wide_sums(h: Column) -> list[Column]:
+    """The same counts in thirty-two sums, for up to 2^31 - 1 features."""
+    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(0x0000000100000001))).alias(f"_s{k}") for k in range(32)]
+
+
+def wide_fingerprint(count: str) -> Column:
+    def bit(k: int, lane: int) -> Column:
+        counter = F.shiftrightunsigned(F.col(f"_s{k}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft((2 * counter > F.col(count)).cast("long"), k + 32 * lane)
+    return reduce(lambda a, b: a.bitwiseOR(b), [bit(k, lane) for k in range(32) for lane in range(2)])
+
+
 def block(fp: Column | str, number: int, width: int) -> Column:
     c = F.col(fp) if isinstance(fp, str) else fp
     return F.shiftrightunsigned(c, number * width).bitwiseAND(F.lit((1 << width) - 1))

@@ -6,6 +6,9 @@ that link to mostly blocked ones; a host is blocked if its distrust exceeds its
 hosts in the pages' html and, as a site answers for its parts, host to parent domain and back. Every ancestor of a host down to two
 labels is a node, with pages or without, so hosts of one domain are connected. Hosts and edges stay tables.
 
+Both ranks are taken to their fixed point: what still moves is added round by round until it sums to less than a millionth of all
+rank, whatever the distance between a host and the seeds. A job does eight rounds.
+
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed. Null html has no links. Repeated pages
 each give a row and their links count each time. Other columns are not read.
 """
@@ -17,13 +20,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import scratch, small, stored
 
 # The rules of the contract.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 DAMPING = 0.85
-ROUNDS = 12
+SETTLED = 1e-6      # rank that may still be on its way at the end, of 1 in all
+AT_ONCE = 8         # rounds of one job
+MOST_ROUNDS = 240   # 0.85^240 is far below SETTLED
 MAJORITY = 0.5      # share of a host's pages that makes it a seed
 FACTOR = 1.0        # blocked if distrust > FACTOR * trust
 PARENT = 0.1        # weight of the edges to and from a parent domain, in links
@@ -71,16 +76,32 @@ def parents(names: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """host, rank: personalised PageRank along edges(src, dst, share) from seeds(host, seed), whose seeds sum to 1. Mass at hosts
-    without edges returns to nobody, so ranks compare directly between the two directions."""
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
-    for _ in range(ROUNDS):
-        moved = ranks.join(edges, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        kept = seeds.select("host", ((1 - DAMPING) * F.col("seed")).alias("rank"))
-        # rounded to a fixed scale, so that the order of summation cannot show
-        nxt = moved.unionByName(kept).groupBy("host").agg(F.sum(F.col("rank").cast("decimal(30,15)")).cast("double").alias("rank"))
-        ranks = stored(nxt, "ranks")
-    return ranks
+    """way, host, rank: personalised PageRank along edges(way, src, dst, share) from seeds(way, host, seed), whose seeds sum to 1 for
+    each way; the ways do not mix. Mass at hosts without edges returns to nobody, so ranks of two ways compare directly."""
+    with scratch(edges.sparkSession) as keep:
+        return keep(_fixed_point(edges, seeds), "ranks")
+
+
+def _fixed_point(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    first = (1 - DAMPING) * F.col("seed")
+    state = stored(seeds.select("way", "host", first.alias("rank"), first.alias("fresh")), "ranks")
+    # an edge of share 0 from every host to itself carries its rank along, so a round reads the state once
+    hosts = edges.select("way", F.col("dst").alias("host")).union(seeds.select("way", "host")).distinct()
+    steps = edges.select(F.col("way").alias("along"), "src", "dst", "share").where(F.col("src") != F.col("dst")) \
+        .unionByName(hosts.select(F.col("way").alias("along"), F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share")))
+    steps = small(stored(steps, "steps"))
+    for _ in range(MOST_ROUNDS // AT_ONCE):
+        for _ in range(AT_ONCE):
+            moved = state.join(steps, (F.col("way") == F.col("along")) & (F.col("host") == F.col("src"))).select(
+                "way", F.col("dst").alias("host"), F.when(F.col("src") == F.col("dst"), F.col("rank")).otherwise(0.0).alias("rank"),
+                (DAMPING * F.col("fresh") * F.col("share")).alias("fresh"))
+            # rounded to a fixed scale, so that the order of summation cannot show
+            fresh = F.sum(F.col("fresh").cast("decimal(30,15)")).cast("double")
+            state = moved.groupBy("way", "host").agg((F.max("rank") + fresh).alias("rank"), fresh.alias("fresh"))
+        state = stored(state, "ranks")
+        if (state.groupBy("way").agg(F.sum("fresh").alias("left")).agg(F.max("left")).first()[0] or 0.0) < SETTLED:
+            return state.select("way", "host", "rank")
+    raise RuntimeError("ranks did not settle")
 
 
 def verdicts(pages: DataFrame, id_: str = "page_id", url: str = "url", html: str = "html", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -95,17 +116,19 @@ def verdicts(pages: DataFrame, id_: str = "page_id", url: str = "url", html: str
     all_ = [cross, up, up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")]
     edges = stored(reduce(DataFrame.unionByName, all_).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "edges")
 
-    def shares(a: str, b: str) -> DataFrame:
+    def shares(way: str, a: str, b: str) -> DataFrame:
         out = small(stored(edges.groupBy(a).agg(F.sum("weight").alias("all")), "out"))
-        return small(stored(edges.join(out, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("weight") / F.col("all")).alias("share")), "shares"))
+        return edges.join(out, a).select(F.lit(way).alias("way"), F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
 
-    def seeds(column: str) -> DataFrame:
+    def seeds(way: str, column: str) -> DataFrame:
         chosen = counts.where(F.col(column) > MAJORITY * F.col("n")).select("host", F.col(column).cast("double").alias("w"))
         whole = chosen.agg(F.sum("w").alias("all"))      # one row
-        return stored(chosen.join(F.broadcast(whole)).select("host", (F.col("w") / F.col("all")).alias("seed")), "seeds")
+        return chosen.join(F.broadcast(whole)).select(F.lit(way).alias("way"), "host", (F.col("w") / F.col("all")).alias("seed"))
 
-    trust = _spread(shares("src", "dst"), seeds("allowed")).withColumnRenamed("rank", "trust")
-    distrust = _spread(shares("dst", "src"), seeds("blocked")).withColumnRenamed("rank", "distrust")
+    ranks = _spread(stored(shares("trust", "src", "dst").unionByName(shares("distrust", "dst", "src")), "shares"),
+                    stored(seeds("trust", "allowed").unionByName(seeds("distrust", "blocked")), "seeds"))
+    trust = ranks.where("way = 'trust'").select("host", F.col("rank").alias("trust"))
+    distrust = ranks.where("way = 'distrust'").select("host", F.col("rank").alias("distrust"))
     bad = distrust.join(trust, "host", "left").where(F.col("distrust") > FACTOR * F.coalesce("trust", F.lit(0.0))).select("host", F.lit(True).alias("bad"))
     out = judged.join(small(stored(bad, "bad")), "host", "left")
     verdict = F.coalesce("said", F.when(F.col("bad"), "block").otherwise("allow"))

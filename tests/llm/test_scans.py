@@ -198,3 +198,38 @@ def test_quality_keeps_prose_and_rejects_symbols(spark):
     kept = {r.doc_id for r in quality.judge(documents(spark, good + bad), ["doc_id"]).where("kept").collect()}
     assert kept == set(range(60))
     assert {r.doc_id for r in quality.accept(documents(spark, good + bad)).collect()} == kept
+
+
+def test_pii_context_words_may_stand_far_away(spark):
+    gap = "-" * 60
+    texts = [f"contact {gap} u{i}@ex.com" for i in range(40)] + [f"contact {gap} joe_2(at)ex.com"]
+    rows = {r.doc_id: r.spans for r in pii.scan(documents(spark, texts)).collect()}
+    assert rows[40] == "email:69:84"
+
+
+def test_pii_discovery_goes_on_until_nothing_changes(spark):
+    """Each round makes one more context confident: its identifiers were found in the context before."""
+    texts = [f"ctx0 seed{i}@ex.com" for i in range(40)]
+    for k in range(5):
+        for i in range(6):
+            texts += [f"ctx{'abcdef'[k]} hidden{k}{i}at9", f"ctx{'abcdef'[k + 1]} hidden{k}{i}at9"]
+    texts += [f"ctxa seed{i}@ex.com" for i in range(40)]
+    rows = {r.doc_id: r.spans for r in pii.scan(documents(spark, texts)).collect()}
+    assert all(rows[i].startswith("email:5:") for i in range(40, 100, 2))
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.scan(none).count() == 0
+
+
+def test_licenses_that_contain_another_and_runs_that_stand_twice(spark):
+    body = dict(TEMPLATES)
+    two, three = body["bsd-2-clause"], body["bsd-3-clause"]
+    changed = two
+    for w in ("modification", "conditions are", "retain", "binary form must", "materials"):
+        assert w in changed
+        changed = changed.replace(w, "zzz", 1)
+    texts = [two, three, two + " x" * 50 + " " + MIT, changed, "intro " + three.replace("specific", "zzz")]
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, texts), ["doc_id"]).collect()}
+    assert [rows[i].labels for i in range(5)] == ["bsd-2-clause", "bsd-3-clause", "bsd-2-clause,mit", "bsd-2-clause", "bsd-3-clause"]
+    machine = licenses.SuffixAutomaton([b"a b c d e f x a b c d e g".split()])
+    (end,) = [s for _, _, s in machine.runs(b"a b c d e".split())]
+    assert machine.ends[end] == {0: {4, 11}}
