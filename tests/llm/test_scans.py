@@ -208,14 +208,16 @@ def test_pii_context_words_may_stand_far_away(spark):
 
 
 def test_pii_discovery_goes_on_until_nothing_changes(spark):
-    """Each round makes one more context confident: its identifiers were found in the context before."""
-    texts = [f"ctx0 seed{i}@ex.com" for i in range(40)]
-    for k in range(5):
-        for i in range(6):
-            texts += [f"ctx{'abcdef'[k]} hidden{k}{i}at9", f"ctx{'abcdef'[k + 1]} hidden{k}{i}at9"]
-    texts += [f"ctxa seed{i}@ex.com" for i in range(40)]
+    """Every context is confident only once what was found in the one before is counted in it."""
+    texts = [f"ctxa a{i}@ex.com" for i in range(40)] + [f"ctxa hidden{j}zero(at)x" for j in range(6)]
+    hidden = list(range(40, 46))
+    for k in range(1, 6):
+        name = "ctx" + "abcdefg"[k]
+        texts += [f"{name} seed{k}x{i}@ex.com" for i in range(24)] + [t.replace("ctx" + "abcdefg"[k - 1], name) for t in (texts[h] for h in hidden[-6:-2])]
+        hidden += range(len(texts), len(texts) + 6)
+        texts += [f"{name} hidden{k}{j}more(at)x" for j in range(6)]
     rows = {r.doc_id: r.spans for r in pii.scan(documents(spark, texts)).collect()}
-    assert all(rows[i].startswith("email:5:") for i in range(40, 100, 2))
+    assert all(rows[i] == f"email:5:{len(texts[i])}" for i in hidden)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.scan(none).count() == 0
 
