@@ -28,6 +28,7 @@ from .link import link, ratio
 
 BANDS, WIDTH = 32, 4
 COORDINATES = 1024      # of a sketch; the bands use the first BANDS * WIDTH
+MOST, COUNT = 1_000_000, 500      # bytes and texts sketched at once: a sketch takes 8 KB while it is made
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def signatures(df: DataFrame, id_: str, text: str, words: int, bands_: int, widt
             return [pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), filled(keys), filled(short)]
         return batch
 
-    return map_texts(df, [id_], text, make, "n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>, sketch array<bigint>")
+    return map_texts(df, [id_], text, make, "n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>, sketch array<bigint>", MOST, COUNT)
 
 
 def sets_of(df: DataFrame, id_: str, text: str, words: int) -> DataFrame:
