@@ -66,14 +66,33 @@ def tokens(names: dict[str, int], words: str | None) -> dict[int, int]:
     return {names[w]: c for w, c in Counter(words.split(" ")).items() if w in names} if words else {}
 
 
-def _matches(texts, finder, count) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count of every match in the texts of a batch."""
-    found = [count(finder, t) for t in texts]
+MOST_PAIRS = 500_000    # pairs of a match and an asking question that a task holds at once, besides those of one text
+MOST_KEPT = 200_000     # rows kept from the texts of a batch before they are cut again
+
+
+def _arrays(rows: list[int], found: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(f) for f in found], dtype=np.int64)
-    row = np.repeat(np.arange(len(found)), sizes)
     terms = np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum()))
     counts = np.fromiter((c for f in found for c in f.values()), np.int64, int(sizes.sum()))
-    return row, terms, counts
+    return np.repeat(np.array(rows, dtype=np.int64), sizes), terms, counts
+
+
+def _matches(texts, terms: Terms, finder, count) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, term and count of every match in the texts of a batch, in pieces of whole texts that `MOST_PAIRS` bounds."""
+    asked, rows, found, pairs = np.diff(terms.starts), [], [], 0
+    for i, text in enumerate(texts):
+        f = count(finder, text)
+        if not f:
+            continue
+        n = int(asked[np.fromiter(f, np.int64, len(f))].sum())
+        if found and pairs + n > MOST_PAIRS:
+            yield _arrays(rows, found)
+            rows, found, pairs = [], [], 0
+        rows.append(i)
+        found.append(f)
+        pairs += n
+    if found:
+        yield _arrays(rows, found)
 
 
 def _finder(terms: Terms, count: Callable):
@@ -90,9 +109,9 @@ def frequencies(docs: DataFrame, terms: Terms, count: Callable = present) -> Dat
         for pdf in batches:
             corpus = pd.Categorical(pdf["corpus"])
             names = corpus.categories.to_numpy()
-            row, term, _ = _matches(pdf["body"], finder, count) if finder else (np.zeros(0, np.int64),) * 3
-            key, n = np.unique(corpus.codes[row].astype(np.int64) * m + term, return_counts=True)
-            yield pd.DataFrame({"corpus": names[key // max(m, 1)], "i": key % max(m, 1), "df": n})
+            for row, term, _ in _matches(pdf["body"], terms, finder, count) if finder else ():
+                key, n = np.unique(corpus.codes[row].astype(np.int64) * m + term, return_counts=True)
+                yield pd.DataFrame({"corpus": names[key // m], "i": key % m, "df": n})
             for i, weight in ((DOCUMENTS, None), (LENGTHS, pdf["length"])):
                 yield pd.DataFrame({"corpus": names, "i": i, "df": np.bincount(corpus.codes, weight, len(names)).astype(np.int64)})
 
@@ -121,17 +140,29 @@ def best(docs: DataFrame, terms: Terms, count: Callable, weigh: Callable, order:
     weigh(pdf, row, term, count) gives each match's share of the score."""
     names = [c for c, _ in order] + list(carry)
     types = dict(docs.dtypes)
+    columns, ascending = ["_q", "_s", *[c for c, _ in order]], [True, False, *[not down for _, down in order]]
+
+    def ranked(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return keep(pd.concat(parts).sort_values(columns, ascending=ascending, kind="stable"))
+
+    def shown(out: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"qid": terms.qids[out["_q"]], **{c: out[c] for c in names}, "score": out["_s"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = _finder(terms, count)
         for pdf in batches if finder else ():
-            row, term, counts = _matches(pdf["body"], finder, count)
-            question, at = terms.asking(term)
-            key, place = np.unique(question * len(pdf) + row[at], return_inverse=True)
-            score = np.round(np.bincount(place, weights=np.asarray(weigh(pdf, row, term, counts), dtype=float)[at], minlength=len(key)), digits)
-            out = pd.DataFrame({"_q": key // len(pdf), "_s": score, **{c: pdf[c].to_numpy()[key % len(pdf)] for c in names}})
-            out = keep(out.sort_values(["_q", "_s", *[c for c, _ in order]], ascending=[True, False, *[not down for _, down in order]], kind="stable"))
-            yield pd.DataFrame({"qid": terms.qids[out["_q"]], **{c: out[c] for c in names}, "score": out["_s"]})
+            held, n = [], 0
+            for row, term, counts in _matches(pdf["body"], terms, finder, count):
+                question, at = terms.asking(term)
+                key, place = np.unique(question * len(pdf) + row[at], return_inverse=True)
+                score = np.round(np.bincount(place, weights=np.asarray(weigh(pdf, row, term, counts), dtype=float)[at], minlength=len(key)), digits)
+                held.append(ranked([pd.DataFrame({"_q": key // len(pdf), "_s": score, **{c: pdf[c].to_numpy()[key % len(pdf)] for c in names}})]))
+                n += len(held[-1])
+                if n > MOST_KEPT:
+                    yield shown(ranked(held))
+                    held, n = [], 0
+            if held:
+                yield shown(ranked(held))
 
     qtype = "string" if terms.qids.dtype == object else "bigint"
     return docs.mapInPandas(run, f"qid {qtype}, " + ", ".join(f"{c} {types[c]}" for c in names) + ", score double")
