@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import VaultConfig, glob_regex
 from ..functions import fixed as X
 from ..functions import text as T
+from ..session import kept
 from . import parse as P
 
 _ALIASES = "array<struct<text:string,cs:boolean>>"
@@ -89,7 +90,7 @@ def discover(notes: DataFrame, cfg: VaultConfig, registry_text: str = "", dictio
     no alias of their own. The first definer of a slug keeps its kind; the registry overrides."""
     if "fm" not in notes.columns:
         notes = P.with_frontmatter(notes)
-    notes = notes.where(F.col("in_vault"))
+    notes = kept(notes.where(F.col("in_vault")).select("rel", "fm"), "definers")     # parsed once, read by every kind of folder
     usable = notes.where(~_defines_nothing(F.col("rel"), cfg.not_entities))
     rank, rows = 0, []
     for d in cfg.person_dirs:
