@@ -399,6 +399,23 @@ def test_long_lines_have_the_fingerprint_of_short_ones(spark, monkeypatch):
     assert sorted(linededup.occurrences(df, "doc_id", "text").drop("row").collect()) == want and len(want) == 5
 
 
+def test_only_lines_that_meet_others_go_to_the_buckets(spark, monkeypatch):
+    """Names of eight bytes, and of the six rows a line has only those whose key another line has too."""
+    rng, seen = random.Random(30), []
+    base = [prose(rng, 150) for _ in range(60)]
+    near = [x.replace(x.split()[50], "changed", 1) for x in base[:5]]
+    plain = linededup.link
+
+    def spied(buckets, *rest):
+        seen.append((buckets.groupBy("key").count().where("count < 2").count(), dict(buckets.dtypes)["id"]))
+        return plain(buckets, *rest)
+
+    monkeypatch.setattr(linededup, "link", spied)
+    rows = {r.row.doc_id: r.n_removed for r in linededup.dedup_lines(documents(spark, near + base)).collect()}
+    assert seen == [(0, "bigint")]
+    assert all(rows[i] == 0 for i in [*range(5), *range(10, 65)]) and sum(rows.values()) >= 2
+
+
 def test_line_dedup_of_very_long_lines(spark):
     """More words than a 16-bit counter holds: equal up to case, one word apart, and different."""
     rng = random.Random(29)
