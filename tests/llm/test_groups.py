@@ -416,6 +416,26 @@ def test_only_lines_that_meet_others_go_to_the_buckets(spark, monkeypatch):
     assert all(rows[i] == 0 for i in [*range(5), *range(10, 65)]) and sum(rows.values()) >= 2
 
 
+def test_unrelated_lines_with_a_frequent_word_never_become_candidates(spark, monkeypatch):
+    """A frequent word brings fingerprints close; the pairs of neighbouring words tell such lines apart before their texts travel."""
+    rng, seen = random.Random(31), []
+    apart = [" ".join(f"the r{rng.randrange(10 ** 7)}" for _ in range(60)) for _ in range(60)]
+    base = [prose(rng, 150, 4000) for _ in range(20)]
+    near = [x.replace(x.split()[50], "changed", 1) for x in base]
+    plain = linededup.link
+
+    def spied(buckets, verify, fits):
+        def counted(candidates):
+            seen.append(candidates.count())
+            return verify(candidates)
+        return plain(buckets, counted, fits)
+
+    monkeypatch.setattr(linededup, "link", spied)
+    rows = {r.row.doc_id: r.n_removed for r in linededup.dedup_lines(documents(spark, apart + base + near)).collect()}
+    assert sum(seen) <= 150         # 20 pairs of near lines and a hundredth of the others, by chance
+    assert all(rows[i] == 0 for i in range(80)) and sum(rows[i] for i in range(80, 100)) >= 8
+
+
 def test_line_dedup_of_very_long_lines(spark):
     """More words than a 16-bit counter holds: equal up to case, one word apart, and different."""
     rng = random.Random(29)
